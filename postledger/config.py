@@ -13,8 +13,10 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from postledger import schemas
 from postledger.functions.prompts import hard_text, soft_text
@@ -135,7 +137,7 @@ def select_searches(searches: Iterable[Search], target: str | None) -> list[Sear
 
 
 def searches_frame(spark: SparkSession, searches: Iterable[Search]) -> DataFrame:
-    rows = spark.createDataFrame([search.as_row() for search in searches], schemas.SEARCHES)
+    rows = _local(spark, [search.as_row() for search in searches], schemas.SEARCHES)
     return rows.withColumns(
         {
             "hard_text": hard_text(F.col("hard.salary_min"), F.col("hard.title_keywords")),
@@ -144,9 +146,21 @@ def searches_frame(spark: SparkSession, searches: Iterable[Search]) -> DataFrame
     )
 
 
+def _local(spark: SparkSession, rows: list[dict[str, Any]], schema: str) -> DataFrame:
+    """Configuration as a local relation.  Its exact size is part of the plan, so joins
+    broadcast it only below ``spark.sql.autoBroadcastJoinThreshold``."""
+    struct = spark.createDataFrame([], schema).schema
+    return spark.createDataFrame(pa.Table.from_pylist(rows, to_arrow_schema(struct)), struct)
+
+
 def companies_frame(spark: SparkSession, companies: Iterable[Company]) -> DataFrame:
     # Only plain settings travel with the rows; nested ones steer fetching, which is not done here.
     rows = [
-        (c.name, c.ats, {k: v for k, v in c.config.items() if isinstance(v, str)}) for c in companies
+        {
+            "company": company.name,
+            "ats": company.ats,
+            "config": [(k, v) for k, v in company.config.items() if isinstance(v, str)],
+        }
+        for company in companies
     ]
-    return spark.createDataFrame(rows, schemas.COMPANIES)
+    return _local(spark, rows, schemas.COMPANIES)

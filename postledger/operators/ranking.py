@@ -15,6 +15,11 @@ _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _SALTS = 256
 
 
+def _order() -> list[Column]:
+    """Best first; equal scores are ordered by key."""
+    return [F.col("combined_score").desc(), F.col("unique_key").asc()]
+
+
 def eligible(scores: DataFrame, min_fit: int = MIN_FIT, min_desirability: int = MIN_DESIRABILITY) -> DataFrame:
     """Scores over both thresholds without a hard fail, with their combined score."""
     passing = (
@@ -26,8 +31,10 @@ def eligible(scores: DataFrame, min_fit: int = MIN_FIT, min_desirability: int =
     return scores.where(passing).withColumn("combined_score", combined)
 
 
-def top(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
-    return rows.orderBy(*order).limit(limit)
+def stored_only(scores: DataFrame, stored: DataFrame, active_only: bool = False) -> DataFrame:
+    """Scores whose listing is stored.  Touches only key columns of ``stored``."""
+    keys = stored.where("is_active") if active_only else stored
+    return scores.join(keys.select("unique_key"), "unique_key", "left_semi")
 
 
 def top_per_group(rows: DataFrame, group: list[str], limit: int, order: list[Column]) -> DataFrame:
@@ -45,51 +52,47 @@ def top_per_group(rows: DataFrame, group: list[str], limit: int, order: list[Col
     return ranked.where(F.col("rank") <= limit)
 
 
-def _with_jobs(ranked: DataFrame, jobs: DataFrame, rows: int) -> DataFrame:
-    """Join the few ranked scores to the wide table; their number is a known bound."""
-    few = F.broadcast(ranked) if rows <= MAX_ROWS else ranked
-    return jobs.join(few, "unique_key")
-
-
-def rank_search(
-    jobs: DataFrame,
+def best_of_search(
+    stored: DataFrame,
     scores: DataFrame,
     search_name: str,
     min_fit: int = MIN_FIT,
     min_desirability: int = MIN_DESIRABILITY,
     limit: int = LIMIT,
     active_only: bool = False,
-    state: DataFrame | None = None,
 ) -> DataFrame:
-    """The best listings of one search, best first; equal scores are ordered by key.
-
-    ``state``, where given, is asked which keys are stored instead of the wide ``jobs``.
-    """
-    own = scores.where(F.col("search_name") == search_name)
-    candidates = _stored(eligible(own, min_fit, min_desirability), state or jobs, active_only)
-    order = [F.col("combined_score").desc(), F.col("unique_key").asc()]
-    best = top(candidates, limit, *order)
-    return _with_jobs(best, jobs, limit).orderBy(*order)
+    """The best scores of one search.  ``stored`` holds the keys of stored listings."""
+    own = eligible(scores.where(F.col("search_name") == search_name), min_fit, min_desirability)
+    return stored_only(own, stored, active_only).orderBy(*_order()).limit(limit)
 
 
-def rank_searches(
-    jobs: DataFrame,
+def best_of_all(
+    stored: DataFrame,
     scores: DataFrame,
-    searches: int,
     min_fit: int = MIN_FIT,
     min_desirability: int = MIN_DESIRABILITY,
     limit: int = LIMIT,
     active_only: bool = False,
-    state: DataFrame | None = None,
 ) -> DataFrame:
-    """The same for all searches in one pass.  ``searches`` is how many there are."""
-    candidates = _stored(eligible(scores, min_fit, min_desirability), state or jobs, active_only)
-    order = [F.col("combined_score").desc(), F.col("unique_key").asc()]
-    best = top_per_group(candidates, ["search_name"], limit, order)
-    return _with_jobs(best, jobs, limit * searches)
+    """The best scores of every search in one pass, with their ``rank``."""
+    candidates = stored_only(eligible(scores, min_fit, min_desirability), stored, active_only)
+    return top_per_group(candidates, ["search_name"], limit, _order())
 
 
-def _stored(scores: DataFrame, rows: DataFrame, active_only: bool) -> DataFrame:
-    """Scores whose listing is stored.  Touches only key columns."""
-    keys = rows.where("is_active") if active_only else rows
-    return scores.join(keys.select("unique_key"), "unique_key", "left_semi")
+def with_listings(best: DataFrame, listings: DataFrame, rows: int) -> DataFrame:
+    """Ranked scores with their listings.  ``rows`` is the most rows ``best`` can have; the
+    wide side is neither shuffled nor sorted while that is within the broadcast bound."""
+    few = F.broadcast(best) if rows <= MAX_ROWS else best
+    return listings.join(few, "unique_key")
+
+
+def rank_search(listings: DataFrame, scores: DataFrame, search_name: str, limit: int = LIMIT, **options) -> DataFrame:
+    """The best listings of one search, best first."""
+    best = best_of_search(listings, scores, search_name, limit=limit, **options)
+    return with_listings(best, listings, limit).orderBy(*_order()).limit(limit)
+
+
+def rank_searches(listings: DataFrame, scores: DataFrame, searches: int, limit: int = LIMIT, **options) -> DataFrame:
+    """The best listings of all searches.  ``searches`` is how many there are."""
+    best = best_of_all(listings, scores, limit=limit, **options)
+    return with_listings(best, listings, limit * searches)

@@ -31,7 +31,7 @@ def offline_scorer(prompts: list[str]) -> list[str]:
 
 
 def render_prompts(pairs: DataFrame, searches: DataFrame) -> DataFrame:
-    """Pairs with their text and ``prompt``.  ``searches`` is small; hint it if checked."""
+    """Pairs with their text and ``prompt``."""
     texts = searches.select(F.col("name").alias("search_name"), "profile", "hard_text", "soft_text")
     columns = ("profile", "hard_text", "soft_text", "title", "company", "location", "department")
     return pairs.join(texts, "search_name").select(

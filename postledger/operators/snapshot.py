@@ -29,15 +29,15 @@ def last_wins(rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> Dat
     return one_per_key(rows, keys, F.col(ordinal).desc())
 
 
-def choose_listed(listed: DataFrame, in_region: Column) -> DataFrame:
+def choose_listed(listed: DataFrame, in_region: Column, *ties: Column) -> DataFrame:
     """One listed row per key, with ``in_region`` as a column.
 
     Copies inside the regions are all enriched and the last one counts; without any,
-    the first copy counts.
+    the first copy counts.  ``ties`` orders copies that share an ordinal.
     """
     flagged = listed.withColumn("in_region", in_region)
     preference = F.when(F.col("in_region"), -F.col("ordinal")).otherwise(F.col("ordinal"))
-    return one_per_key(flagged, ["unique_key"], F.col("in_region").desc(), preference.asc())
+    return one_per_key(flagged, ["unique_key"], F.col("in_region").desc(), preference.asc(), *ties)
 
 
 def known_keys(state: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def merge_snapshot(
 ) -> DataFrame:
     """The next state: insert, touch, close and reopen in one full outer join.
 
-    ``incoming`` holds one row per key (unique_key, company, ordinal); ``scanned``
+    ``incoming`` holds one row per key (unique_key, company, row_id); ``scanned``
     (company, complete) names the companies of this run, also those that listed
     nothing.  Only complete ones can have rows closed.
     """
@@ -75,7 +75,7 @@ def merge_snapshot(
         complete, "company", "left"
     )
     listed = incoming.select(
-        "unique_key", F.col("company").alias("_company"), "ordinal", F.lit(True).alias("_listed")
+        "unique_key", F.col("company").alias("_company"), "row_id", F.lit(True).alias("_listed")
     )
     change = (
         F.when(F.col("company").isNull(), NEW)
@@ -92,5 +92,5 @@ def merge_snapshot(
         F.when(touched, run_ts).otherwise(F.col("last_seen")).alias("last_seen"),
         F.when(touched, F.col("change") != CLOSED).otherwise(F.col("is_active")).alias("is_active"),
         "change",
-        F.when(F.col("change") == NEW, F.col("ordinal")).alias("ordinal"),
+        F.when(F.col("change") == NEW, F.col("row_id")).alias("row_id"),
     )

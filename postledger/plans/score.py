@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postledger.config import Search, searches_frame, select_searches
-from postledger.operators.bounds import broadcast_within
 from postledger.operators.matching import gate_failures, match_searches, stale
 from postledger.operators.reports import search_report
 from postledger.operators.scoring import (
@@ -42,7 +41,7 @@ def score(
     """
     chosen = select_searches(searches, target)
     spark, run = ledger.spark, ledger.last_scoring() + 1
-    frame = broadcast_within(searches_frame(spark, chosen))
+    frame = searches_frame(spark, chosen)
     previous = ledger.current_scores()
 
     postings = ledger.current_postings().withColumnRenamed("run", "stored_run")

@@ -106,29 +106,29 @@ def sync_listed(
     stamp = F.lit(run_ts)
     in_region = in_regions(F.col("location"), regions)
 
-    staged = ledger.listed.write(listed, run)
-    scanned = completeness(staged)
+    staged = ledger.listed.write(listed.withColumn("row_id", F.monotonically_increasing_id()), run)
+    scanned = ledger.scanned.write(completeness(staged).coalesce(1), run)
     usable = staged.where("usable")
 
-    narrow = usable.select("unique_key", "company", "location", "ordinal")
-    merged = merge_snapshot(previous, choose_listed(narrow, in_region), scanned, stamp)
-    state = ledger.state.write(merged, run)
+    narrow = usable.select("unique_key", "company", "location", "ordinal", "row_id")
+    chosen = choose_listed(narrow, in_region, F.col("row_id"))
+    state = ledger.state.write(merge_snapshot(previous, chosen, scanned, stamp), run)
 
-    arrivals = state.where(F.col("change") == NEW).select("unique_key", "ordinal")
-    new = usable.join(arrivals, ["unique_key", "ordinal"])
+    # A table of its own, so that the join below is planned with the size of what is new:
+    # a broadcast, or a Bloom filter built from the left, keeps the text of known rows
+    # out of the shuffle.
+    arrivals = ledger.arrivals.write(state.where(F.col("change") == NEW).select("row_id"), run)
+    new = usable.join(arrivals.where("row_id >= 0"), "row_id")
     if details is not None:
         # Details count for new rows inside the regions only.
         new = enrich(new.withColumn("detail_ref", F.when(in_region, F.col("detail_ref"))), details)
     texts = new.withColumn("description", strip_html(F.col("raw_description")))
     kept = [name for name in _names(schemas.POSTINGS) if name not in ("first_seen", "has_description")]
-    postings = ledger.postings.write(
-        texts.select(
-            *kept,
-            stamp.alias("first_seen"),
-            (F.col("description") != "").alias("has_description"),
-        ),
-        run,
+    complete = texts.select(
+        *kept, stamp.alias("first_seen"), (F.col("description") != "").alias("has_description")
     )
+    # Sorted files let a lookup of single keys skip all other pages.
+    postings = ledger.postings.write(complete.sortWithinPartitions("unique_key"), run)
 
     enriched = postings.groupBy("company").agg(F.count_if(in_region).alias("enriched"))
     report = scanned

@@ -7,6 +7,7 @@ rewrites.  ``jobs`` is their join on ``unique_key``.
 
 # One row per listed item, as every source produces it.  A document without items
 # leaves a row with neither key nor ordinal, so that its company counts as scanned.
+# ``ordinal`` gives the order of a company's items.
 # ``usable`` rows are listings; ``announced`` is the total a document claims.
 LISTED = """
     unique_key STRING, company STRING, ats_job_id STRING, title STRING, url STRING,
@@ -14,6 +15,13 @@ LISTED = """
     ordinal BIGINT, detail_ref STRING, announced INT, corrupt BOOLEAN, usable BOOLEAN
 """
 
+# Listed rows as staged for one run.  ``row_id`` tells copies apart even where a
+# document landed twice.
+STAGED = LISTED.rstrip() + ", row_id BIGINT"
+
+# The staged rows of a run whose key is new.
+ARRIVALS = "row_id BIGINT"
+
 # Append-only, partitioned by the run that stored the row.  ``has_description``
 # lets scoring skip empty rows without reading the text column.
 POSTINGS = """
@@ -23,10 +31,10 @@ POSTINGS = """
 """
 
 # Rewritten by every run.  ``change`` says what the run did to the row and
-# ``ordinal`` which listed item a new row came from.
+# ``row_id`` which staged row a new one came from.
 STATE = """
     unique_key STRING, company STRING, last_seen TIMESTAMP, is_active BOOLEAN,
-    change STRING, ordinal BIGINT
+    change STRING, row_id BIGINT
 """
 
 SCORES = """

@@ -12,7 +12,20 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Runtime-sized broadcast instead of estimates taken from file sizes.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
-    # Bucketed tables keyed by unique_key also serve joins on (unique_key, search_name).
+    # Static broadcasts rest on exact sizes here: configuration, and tables a run wrote.
+    "spark.sql.autoBroadcastJoinThreshold": "32MB",
+    # Where the new rows of a run are too many to broadcast, they filter the staged rows
+    # before the shuffle.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "20000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumItems": "20000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": "160000000",
+    "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": "160000000",
+    # Ranked keys are looked up by value in the column indexes of sorted files.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
+    # Rows already distributed by unique_key are not shuffled again for a join on
+    # (unique_key, search_name, ...).
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.parquet.filterPushdown": "true",
     # A repeated field of an answer counts with its last value.

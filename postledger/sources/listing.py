@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from postledger import schemas
 from postledger.functions.scalars import or_empty, unique_key
-from postledger.operators.bounds import broadcast_within
 from postledger.sources.landing import detail_ref
 from postledger.sources.registry import Source
 
@@ -20,7 +19,7 @@ def normalise(items: DataFrame, source: Source, companies: DataFrame) -> DataFra
     Text stays raw here: only rows that turn out to be new pay for HTML stripping.
     """
     settings = companies.where(F.col("ats") == source.name).select("company", "config")
-    joined = items.join(broadcast_within(settings), "company")
+    joined = items.join(settings, "company")
     fields = dict(source.fields(F.col("item"), F.col("config")))
     detail_key = fields.pop("detail_key", None)
     texts = ("ats_job_id", "title", "url", "location", "department", "raw_description")

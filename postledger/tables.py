@@ -84,7 +84,17 @@ class Ledger:
     @property
     def listed(self) -> Table:
         """Staging: the parsed listing of each run."""
-        return self._table("listed", schemas.LISTED)
+        return self._table("listed", schemas.STAGED)
+
+    @property
+    def scanned(self) -> Table:
+        """Staging: the companies of each run and whether their listing is complete."""
+        return self._table("scanned", schemas.SCANNED)
+
+    @property
+    def arrivals(self) -> Table:
+        """Staging: which staged rows of each run are new."""
+        return self._table("arrivals", schemas.ARRIVALS)
 
     @property
     def postings(self) -> Table:

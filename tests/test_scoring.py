@@ -259,6 +259,13 @@ def test_rank_search(ranked):
     assert ids(rank_search(jobs, scores, "nothing")) == []
 
 
+def test_ranking_does_not_shuffle_wide_rows(spark, ledger, tmp_path):
+    score(ledger, [ANY], T1, Recorder(tmp_path / "p", lambda p: reply(90, 90)))
+    plan = rank(ledger, ANY.name)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "In(unique_key" in plan
+    assert "SinglePartition" not in plan
+
+
 @pytest.mark.parametrize("limit", [1, 2, 5000])
 def test_rank_searches(ranked, limit):
     jobs, scores = ranked
@@ -274,6 +281,7 @@ def test_rank_of_a_ledger(spark, ledger, tmp_path):
     rows = rank(ledger, ANY.name, limit=3)
     assert {"title", "description", "last_seen", "fit_score", "score_detail"} <= set(rows.columns)
     assert ids(rows) == ["1", "2", "3"]
+    assert ids(rank(ledger, ANY.name, limit=5000)) == ["1", "2", "3", "5"]
     everything = rank_all(ledger, searches=3, limit=1).collect()
     assert {(r.search_name, r.unique_key.split("::")[1]) for r in everything} == {
         (LEAD.name, "1"), (ANY.name, "1"), (PERU.name, "3"),

@@ -1,6 +1,7 @@
 """Snapshot operators and the synchronisation run."""
 
 import datetime as dt
+import json
 import sys
 
 import pytest
@@ -35,7 +36,7 @@ def state_of(spark, rows):
 
 def incoming_of(spark, keys):
     rows = [(k, k.split("::")[0], i) for i, k in enumerate(keys)]
-    return spark.createDataFrame(rows, "unique_key string, company string, ordinal bigint")
+    return spark.createDataFrame(rows, "unique_key string, company string, row_id bigint")
 
 
 def scanned_of(spark, **companies):
@@ -264,6 +265,14 @@ def test_copies_in_one_listing(spark, tmp_path, ledger):
     assert jobs == {"Acme::R1": ("Third", "Text third"), "Acme::R2": ("First", "")}
 
 
+def test_a_page_that_landed_twice_stores_one_row_per_key(spark, tmp_path, ledger):
+    text = json.dumps(page([posting(1), posting(2)]))
+    bodies = [("workday", "Acme", 0, text), ("workday", "Acme", 0, text)]
+    frame = spark.createDataFrame(bodies, "source string, company string, offset bigint, body string")
+    sync_bodies(ledger, frame, None, [ACME], [], T1)
+    assert sorted(r.unique_key for r in ledger.jobs().collect()) == ["Acme::R1", "Acme::R2"]
+
+
 def test_missing_ids_share_one_key(spark, tmp_path, ledger):
     root = landed(tmp_path, "day1")
     listing(root, FEED, flat_feed({"title": "a"}, {"title": "b"}))
