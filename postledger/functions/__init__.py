@@ -1,4 +1,4 @@
-from postledger.functions.answers import answer_columns, json_slice
+from postledger.functions.answers import json_slice, with_answer_columns
 from postledger.functions.scalars import (
     combined_score,
     decode_detail,
@@ -16,7 +16,6 @@ from postledger.functions.scalars import (
 from postledger.functions.text import contains_any, strip_html
 
 __all__ = [
-    "answer_columns",
     "combined_score",
     "contains_any",
     "decode_detail",
@@ -32,4 +31,5 @@ __all__ = [
     "site_url",
     "strip_html",
     "unique_key",
+    "with_answer_columns",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postledger.functions.scalars import or_empty
@@ -22,7 +22,8 @@ def _parsed(answer: Column) -> Column:
     object must not parse.  Inside brackets and inside braces alike, only a single
     value is well formed.
     """
-    text = _slice(answer)
+    # Answers without braces are not worth a failing parse.
+    text = F.nullif(_slice(answer), F.lit(""))
     in_brackets = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     in_braces = F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}")))
     return F.when(in_braces.isNotNull(), F.try_variant_get(in_brackets, "$[0]", "variant"))
@@ -33,9 +34,17 @@ def json_slice(answer: Column) -> Column:
     return F.when(_parsed(answer).isNotNull(), _slice(answer))
 
 
-def answer_columns(answer: Column) -> dict[str, Column]:
-    """Typed columns of an answer, with defaults for what is missing or unusable."""
-    detail = _parsed(answer)
+def with_answer_columns(rows: DataFrame, answer: str = "answer") -> DataFrame:
+    """Replaces an answer by typed columns, with defaults for what is missing or unusable.
+
+    The parsed answer is a column of its own first, so that it is parsed once.
+    """
+    parsed = rows.withColumn("_detail", _parsed(F.col(answer))).drop(answer)
+    return parsed.withColumns(answer_columns(F.col("_detail"))).drop("_detail")
+
+
+def answer_columns(detail: Column) -> dict[str, Column]:
+    """Typed columns of a parsed answer."""
 
     def score(path: str) -> Column:
         number = F.try_variant_get(detail, path, "double")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postledger import schemas
-from postledger.functions.answers import answer_columns
+from postledger.functions.answers import with_answer_columns
 from postledger.functions.prompts import prompt
 from postledger.operators.matching import MODEL_STAGE
 
@@ -57,11 +57,8 @@ def ask(prompts: DataFrame, score_batch: ScoreBatch = offline_scorer) -> DataFra
 
 def read_answers(answers: DataFrame) -> DataFrame:
     """Score rows of answers.  An answer that does not parse scores zero."""
-    return answers.select(
-        *ANSWER_KEYS,
-        *[column.alias(name) for name, column in answer_columns(F.col("answer")).items()],
-        F.lit(MODEL_STAGE).alias("stage_reached"),
-    )
+    rows = with_answer_columns(answers.select(*ANSWER_KEYS, "answer"))
+    return rows.withColumn("stage_reached", F.lit(MODEL_STAGE))
 
 
 def upsert_scores(scores: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -29,15 +29,39 @@ def last_wins(rows: DataFrame, keys: list[str], ordinal: str = "ordinal") -> Dat
     return one_per_key(rows, keys, F.col(ordinal).desc())
 
 
-def choose_listed(listed: DataFrame, in_region: Column, *ties: Column) -> DataFrame:
+def choose_listed(listed: DataFrame, in_region: Column) -> DataFrame:
     """One listed row per key, with ``in_region`` as a column.
 
     Copies inside the regions are all enriched and the last one counts; without any,
-    the first copy counts.  ``ties`` orders copies that share an ordinal.
+    the first copy counts.
     """
     flagged = listed.withColumn("in_region", in_region)
     preference = F.when(F.col("in_region"), -F.col("ordinal")).otherwise(F.col("ordinal"))
-    return one_per_key(flagged, ["unique_key"], F.col("in_region").desc(), preference.asc(), *ties)
+    return one_per_key(flagged, ["unique_key"], F.col("in_region").desc(), preference.asc())
+
+
+def choose_keys(listed: DataFrame, in_region: Column) -> DataFrame:
+    """``choose_listed`` reduced to (unique_key, company, row_id, in_region).
+
+    All buffers are numbers, so this is a hash aggregation with a map-side combine and
+    sorts nothing.  The company travels as its length, being the start of the key.
+    """
+    flagged = listed.select(
+        "unique_key", "ordinal", "row_id", F.length("company").alias("_length"), in_region.alias("in_region")
+    )
+    inside = F.when(F.col("in_region"), F.col("ordinal"))
+    picked = flagged.groupBy("unique_key").agg(
+        F.bool_or("in_region").alias("in_region"),
+        *[F.max_by(name, inside).alias(f"_last_{name}") for name in ("row_id", "_length")],
+        *[F.min_by(name, "ordinal").alias(f"_first_{name}") for name in ("row_id", "_length")],
+    )
+    length = F.coalesce("_last__length", "_first__length")
+    return picked.select(
+        "unique_key",
+        F.substring("unique_key", F.lit(1), length).alias("company"),
+        F.coalesce("_last_row_id", "_first_row_id").alias("row_id"),
+        "in_region",
+    )
 
 
 def known_keys(state: DataFrame) -> DataFrame:

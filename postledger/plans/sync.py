@@ -20,7 +20,7 @@ from postledger.operators.bounds import broadcast_within
 from postledger.operators.enrich import enrich
 from postledger.operators.matching import in_regions
 from postledger.operators.reports import change_report, listing_report
-from postledger.operators.snapshot import NEW, choose_listed, merge_snapshot
+from postledger.operators.snapshot import NEW, choose_keys, merge_snapshot
 from postledger.sources import (
     completeness,
     details_from_bodies,
@@ -110,8 +110,7 @@ def sync_listed(
     scanned = ledger.scanned.write(completeness(staged).coalesce(1), run)
     usable = staged.where("usable")
 
-    narrow = usable.select("unique_key", "company", "location", "ordinal", "row_id")
-    chosen = choose_listed(narrow, in_region, F.col("row_id"))
+    chosen = choose_keys(usable, in_region)
     state = ledger.state.write(merge_snapshot(previous, chosen, scanned, stamp), run)
 
     # A table of its own, so that the join below is planned with the size of what is new:

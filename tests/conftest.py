@@ -6,8 +6,14 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
+from pyspark import cloudpickle  # noqa: E402
+
+import postledger  # noqa: E402
 from postledger.session import build_session  # noqa: E402
 
+# Workers do not get this process's module path.
+cloudpickle.register_pickle_by_value(postledger)
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -161,8 +161,7 @@ ANSWERS = [
 
 def test_answers(spark):
     frame = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(ANSWERS)], "i int, a string")
-    columns = fn.answer_columns(F.col("a"))
-    rows = frame.select("i", *[c.alias(n) for n, c in columns.items()]).orderBy("i").collect()
+    rows = fn.with_answer_columns(frame, "a").orderBy("i").collect()
     got = [
         (r.fit_score, r.desirability_score, r.hard_fail, r.hard_fail_reason, r.parse_ok) for r in rows
     ]

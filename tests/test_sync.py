@@ -14,6 +14,7 @@ from postledger import schemas
 from postledger.operators.enrich import enrich
 from postledger.operators.reports import counts
 from postledger.operators.snapshot import (
+    choose_keys,
     choose_listed,
     closed_keys,
     first_wins,
@@ -98,7 +99,11 @@ def test_copies_of_a_key(spark):
     pick = lambda frame: {r.unique_key: r.title for r in frame.collect()}
     assert pick(first_wins(rows, ["unique_key"])) == {"k": "one", "j": "five"}
     assert pick(last_wins(rows, ["unique_key"])) == {"k": "four", "j": "six"}
-    assert pick(choose_listed(rows, F.col("location") == "in")) == {"k": "three", "j": "five"}
+    in_region = F.col("location") == "in"
+    assert pick(choose_listed(rows, in_region)) == {"k": "three", "j": "five"}
+    rows = rows.withColumns({"company": F.substring("unique_key", 1, 1), "row_id": F.col("ordinal") * 10})
+    chosen = {r.unique_key: (r.company, r.row_id, r.in_region) for r in choose_keys(rows, in_region).collect()}
+    assert chosen == {"k": ("k", 30, True), "j": ("j", 50, False)}
 
 
 def test_copies_are_limited_before_the_shuffle(spark):

@@ -101,9 +101,9 @@ CASE event_type
 
 def json_slice(spark, sf):
     answers = table(spark, sf, "events").select("event_id", F.expr(_ANSWER).alias("answer"))
-    columns = fn.answer_columns(F.col("answer"))
-    columns["k"] = F.try_variant_get(fn.decode_detail(columns.pop("score_detail")), "$.k", "int")
-    return answers.select("event_id", *[column.alias(name) for name, column in columns.items()])
+    rows = fn.with_answer_columns(answers)
+    k = F.try_variant_get(fn.decode_detail(F.col("score_detail")), "$.k", "int")
+    return rows.withColumn("k", k).drop("score_detail")
 
 
 JSON_SLICE = rf"""

@@ -13,6 +13,7 @@ from postledger.operators.enrich import enrich as enrich_rows
 from postledger.operators.matching import in_regions
 from postledger.operators.reports import change_report, counts as count_rows, listing_report
 from postledger.operators.snapshot import (
+    choose_keys,
     choose_listed,
     closed_keys,
     first_wins,
@@ -45,10 +46,10 @@ def listed(spark, sf, status):
 
 def state(spark, sf):
     """The first snapshot as stored state; keys without any tax were closed since."""
-    stored = listed(spark, sf, "F").groupBy("unique_key", "company").agg(F.max("l_tax").alias("tax"))
+    stored = listed(spark, sf, "F").groupBy("unique_key").agg(F.max("l_tax").alias("tax"))
     return stored.select(
         "unique_key",
-        "company",
+        F.split_part("unique_key", F.lit("::"), F.lit(1)).alias("company"),
         F.lit(FIRST_DAY).cast("date").cast("timestamp").alias("last_seen"),
         (F.col("tax") > 0.02).alias("is_active"),
     )
@@ -62,7 +63,7 @@ def scanned(spark, sf):
 
 def incoming(spark, sf):
     rows = listed(spark, sf, "O").withColumn("row_id", F.col("ordinal"))
-    return choose_listed(rows, in_regions(F.col("location"), REGIONS))
+    return choose_keys(rows, in_regions(F.col("location"), REGIONS))
 
 
 _CTES = """
@@ -82,7 +83,8 @@ current AS (
 
 
 def choose(spark, sf):
-    return incoming(spark, sf).select("unique_key", "company", "title", "in_region")
+    rows = choose_listed(listed(spark, sf, "O"), in_regions(F.col("location"), REGIONS))
+    return rows.select("unique_key", "company", "title", "in_region")
 
 
 CHOOSE = f"""
@@ -122,13 +124,13 @@ FROM merged"""
 
 
 def new(spark, sf):
-    return new_rows(incoming(spark, sf), state(spark, sf)).select("unique_key", "company", "title")
+    return new_rows(incoming(spark, sf), state(spark, sf))
 
 
 NEW = f"""
 WITH {_CTES}
-SELECT DISTINCT unique_key, company, title FROM current c JOIN listed l USING (unique_key, company, ordinal)
-WHERE l_linestatus = 'O' AND NOT EXISTS (SELECT 1 FROM state s WHERE s.unique_key = c.unique_key)"""
+SELECT unique_key, company, ordinal AS row_id, in_region FROM current c
+WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.unique_key = c.unique_key)"""
 
 
 def closed(spark, sf):
