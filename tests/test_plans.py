@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from postledger.operators.bounds import broadcast_within, fits
+from postledger.operators.bounds import broadcast_within, broadcasts_itself, fits
 from postledger.operators.snapshot import choose_keys, choose_listed
 from workloads import documents, expressions, searches, snapshots
 
@@ -63,9 +63,12 @@ def test_broadcast_needs_a_bound(spark):
     assert fits(rows, 100, 1 << 20)
     assert not fits(rows, 99, 1 << 20)
     assert not fits(rows, 100, 1000)
-    big = spark.range(10)
-    assert "ResolvedHint" not in broadcast_within(rows, 5)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" in broadcast_within(big, 10)._jdf.queryExecution().analyzed().toString()
+    hinted = lambda frame: "ResolvedHint" in frame._jdf.queryExecution().analyzed().toString()
+    large = spark.range(100_000_000).groupBy((F.col("id") * 0).alias("k")).count()
+    assert hinted(broadcast_within(large, 10))
+    assert not hinted(broadcast_within(spark.range(100_000_000), 10))
+    # Small by Spark's own estimate: no hint is needed.
+    assert broadcasts_itself(spark.range(10)) and not hinted(broadcast_within(spark.range(10), 5))
 
 
 def test_a_key_with_a_third_of_all_rows(spark):
