@@ -62,6 +62,9 @@ def read_answers(answers: DataFrame) -> DataFrame:
 
 
 def upsert_scores(scores: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Replace whole rows per (unique_key, search_name).  ``fresh`` holds one row per pair."""
+    """Replace whole rows per (unique_key, search_name).  ``fresh`` holds one row per pair.
+
+    Both may hold any columns of a score, so that only narrow ones need to be rewritten.
+    """
     kept = scores.join(fresh.select("unique_key", "search_name"), ["unique_key", "search_name"], "left_anti")
     return kept.unionByName(fresh)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postledger.operators.bounds import MAX_ROWS
 from postledger.operators.ranking import LIMIT, best_of_all, best_of_search, with_listings
-from postledger.tables import Ledger
+from postledger.tables import SCORE_KEYS, Ledger
 
 # Up to this many keys the listings are looked up by value.
 LOOKUP_KEYS = 1000
@@ -15,28 +16,35 @@ LOOKUP_KEYS = 1000
 def rank(ledger: Ledger, search_name: str, limit: int = LIMIT, **options) -> DataFrame:
     """The best listings of one search, best first.  Options as in ``best_of_search``."""
     state = ledger.current_state()
-    best = best_of_search(state, ledger.current_scores(), search_name, limit=limit, **options)
+    best = best_of_search(state, ledger.current_score_state(), search_name, limit=limit, **options)
     order = [F.col("combined_score").desc(), F.col("unique_key").asc()]
     return _listings(ledger, best, limit).orderBy(*order).limit(limit)
 
 
 def rank_all(ledger: Ledger, searches: int, limit: int = LIMIT, **options) -> DataFrame:
     """The best listings of every search.  Options as in ``best_of_all``."""
-    best = best_of_all(ledger.current_state(), ledger.current_scores(), limit=limit, **options)
+    best = best_of_all(ledger.current_state(), ledger.current_score_state(), limit=limit, **options)
     return _listings(ledger, best, limit * searches)
 
 
 def _listings(ledger: Ledger, best: DataFrame, rows: int) -> DataFrame:
-    """``best`` with postings and state.
+    """``best`` with postings, state, and the rest of the scores.
 
-    A short ranking is fetched first, and its keys are pushed into both scans: the files
+    A short ranking is fetched first, and its keys are pushed into the scans: the files
     are sorted by key, so their column indexes leave a few pages of text to read.
     """
     postings = ledger.current_postings().drop("run")
     state = ledger.current_state().select("unique_key", "last_seen", "is_active")
+    scores = ledger.all_scores().select(
+        *SCORE_KEYS, "hard_fail_reason", "score_detail", "stage_reached", "scored_at", "parse_ok"
+    )
     if rows <= LOOKUP_KEYS:
         found = best.collect()
         best = ledger.spark.createDataFrame(found, best.schema)
         wanted = F.col("unique_key").isin(sorted({row.unique_key for row in found}))
+        runs = sorted({row.scored_run for row in found})
         postings, state = postings.where(wanted), state.where(wanted)
-    return with_listings(with_listings(best, postings, rows), state, rows)
+        scores = scores.where(wanted & F.col("scored_run").isin(runs))
+    ranked = with_listings(with_listings(best, postings, rows), state, rows)
+    full = scores.join(F.broadcast(ranked) if rows <= MAX_ROWS else ranked, SCORE_KEYS)
+    return full.drop("scored_run")

@@ -42,7 +42,7 @@ def score(
     chosen = select_searches(searches, target)
     spark, run = ledger.spark, ledger.last_scoring() + 1
     frame = searches_frame(spark, chosen)
-    previous = ledger.current_scores()
+    previous = ledger.current_score_state()
 
     postings = ledger.current_postings().withColumnRenamed("run", "stored_run")
     active = ledger.current_state().where("is_active").select("unique_key")
@@ -62,11 +62,13 @@ def score(
 
     # A dead run may have asked under other settings; only what passes now counts.
     answers = attempts.read_until(attempt).join(passed.select(*ANSWER_KEYS), ANSWER_KEYS, "left_semi")
-    fresh = ledger.fresh_scores.write(
+    fresh = ledger.scores.write(
         gate_failures(pairs, frame)
         .unionByName(read_answers(answers))
-        .withColumn("scored_at", F.lit(run_ts)),
+        .withColumn("scored_at", F.lit(run_ts))
+        .sortWithinPartitions("unique_key"),
         run,
     )
-    ledger.scores.write(upsert_scores(previous, fresh), run)
+    current = fresh.withColumn("scored_run", F.lit(run)).select(*previous.columns)
+    ledger.score_state.write(upsert_scores(previous, current), run)
     return ledger.score_report.write(search_report(fresh), run)

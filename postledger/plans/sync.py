@@ -113,11 +113,7 @@ def sync_listed(
     chosen = choose_keys(usable, in_region)
     state = ledger.state.write(merge_snapshot(previous, chosen, scanned, stamp), run)
 
-    # A table of its own, so that the join below is planned with the size of what is new:
-    # a broadcast, or a Bloom filter built from the left, keeps the text of known rows
-    # out of the shuffle.
-    arrivals = ledger.arrivals.write(state.where(F.col("change") == NEW).select("row_id"), run)
-    new = usable.join(arrivals.where("row_id >= 0"), "row_id")
+    new = _new_rows(ledger, run, usable, state)
     if details is not None:
         # Details count for new rows inside the regions only.
         new = enrich(new.withColumn("detail_ref", F.when(in_region, F.col("detail_ref"))), details)
@@ -147,5 +143,19 @@ def sync_listed(
     )
 
 
+def _new_rows(ledger: Ledger, run: int, usable: DataFrame, state: DataFrame) -> DataFrame:
+    """The staged rows of new keys, in full.
+
+    The ids of new rows, or in a first load those of the few rows passed over, are written
+    as a table of their own.  The join is then planned with their true size: a broadcast,
+    or a Bloom filter before the shuffle, keeps text out of it.
+    """
+    arrivals = ledger.arrivals.write(state.where(F.col("change") == NEW).select("row_id"), run)
+    if 2 * arrivals.count() <= usable.count():
+        return usable.join(arrivals.where("row_id >= 0"), "row_id")
+    others = usable.select("row_id").join(arrivals, "row_id", "left_anti")
+    return usable.join(ledger.passed_over.write(others, run), "row_id", "left_anti")
+
+
 def _names(schema: str) -> list[str]:
     return [part.split()[0] for part in schema.replace("\n", " ").split(",")]

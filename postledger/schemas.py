@@ -19,8 +19,8 @@ LISTED = """
 # document landed twice.
 STAGED = LISTED.rstrip() + ", row_id BIGINT"
 
-# The staged rows of a run whose key is new.
-ARRIVALS = "row_id BIGINT"
+# Staged rows of a run, by number alone.
+ROW_IDS = "row_id BIGINT"
 
 # Append-only, partitioned by the run that stored the row.  ``has_description``
 # lets scoring skip empty rows without reading the text column.
@@ -37,6 +37,7 @@ STATE = """
     change STRING, row_id BIGINT
 """
 
+# Scores in full, append-only, one directory per scoring run.
 SCORES = """
     unique_key STRING, search_name STRING, fit_score INT, desirability_score INT,
     hard_fail BOOLEAN, hard_fail_reason STRING, score_detail STRING, stage_reached INT,
@@ -60,6 +61,13 @@ PAIRS = """
     title STRING, title_ok BOOLEAN, stored_run INT
 """
 
+# Which score counts for a pair.  Only this is rewritten by every scoring run; reasons and
+# answers stay where run ``scored_run`` wrote them.
+CURRENT_SCORES = """
+    unique_key STRING, search_name STRING, fit_score INT, desirability_score INT,
+    hard_fail BOOLEAN, profile_hash STRING, requirements_hash STRING, scored_run INT
+"""
+
 SCORE_REPORT = """
     search_name STRING, stage_reached INT, processed BIGINT, hard_failed BIGINT,
     unreadable BIGINT

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from postledger import schemas
 
+# What names one score among all that were ever made.
+SCORE_KEYS = ["unique_key", "search_name", "scored_run"]
+
 _RUN = re.compile(r"run=(\d+)$")
 
 
@@ -94,7 +97,12 @@ class Ledger:
     @property
     def arrivals(self) -> Table:
         """Staging: which staged rows of each run are new."""
-        return self._table("arrivals", schemas.ARRIVALS)
+        return self._table("arrivals", schemas.ROW_IDS)
+
+    @property
+    def passed_over(self) -> Table:
+        """Staging: the other staged rows, for runs where most are new."""
+        return self._table("passed_over", schemas.ROW_IDS)
 
     @property
     def postings(self) -> Table:
@@ -117,15 +125,16 @@ class Ledger:
         """Staging: model answers of one scoring run, one directory per attempt."""
         return self._table(f"answers/scoring={scoring}", schemas.ANSWERS)
 
-    @property
-    def fresh_scores(self) -> Table:
-        """Staging: the score rows each scoring run produced."""
-        return self._table("fresh_scores", schemas.SCORES)
-
     @property
     def scores(self) -> Table:
+        """Append-only: the scores each scoring run made, in full."""
         return self._table("scores", schemas.SCORES)
 
+    @property
+    def score_state(self) -> Table:
+        """Rewritten by every scoring run: which score counts."""
+        return self._table("score_state", schemas.CURRENT_SCORES)
+
     @property
     def score_report(self) -> Table:
         return self._table("score_report", schemas.SCORE_REPORT)
@@ -142,8 +151,17 @@ class Ledger:
     def current_postings(self) -> DataFrame:
         return self.postings.read_until(self.last_sync())
 
+    def current_score_state(self) -> DataFrame:
+        return self.score_state.read(self.last_scoring())
+
+    def all_scores(self) -> DataFrame:
+        """Every committed score, also replaced ones, with its ``scored_run``."""
+        return self.scores.read_until(self.last_scoring()).withColumnRenamed("run", "scored_run")
+
     def current_scores(self) -> DataFrame:
-        return self.scores.read(self.last_scoring())
+        """The scores that count, in full."""
+        current = self.current_score_state().select(*SCORE_KEYS)
+        return self.all_scores().join(current, SCORE_KEYS).drop("scored_run")
 
     def jobs(self) -> DataFrame:
         """Stored listings in full."""
