@@ -31,6 +31,8 @@ SETTINGS = {
     # A repeated field of an answer counts with its last value.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Prompts carry whole texts, so batches for Python stay small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 

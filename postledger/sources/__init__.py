@@ -2,7 +2,6 @@ from postledger.sources import builtin  # noqa: F401  (registers the built-in so
 from postledger.sources.landing import (
     details_from_bodies,
     items_from_bodies,
-    landed_companies,
     read_details,
     read_items,
 )
@@ -15,7 +14,6 @@ __all__ = [
     "completeness",
     "details_from_bodies",
     "items_from_bodies",
-    "landed_companies",
     "limit_listing",
     "normalise",
     "read_details",

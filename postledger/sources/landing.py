@@ -34,18 +34,22 @@ def detail_path(run: str, source: Source) -> str:
     return f"{run}/source={source.name}/detail"
 
 
-def landed_companies(spark: SparkSession, run: str, source: Source) -> DataFrame:
-    """Companies with a landed listing.  Lists files without reading them, so that an
-    empty listing counts as a listing."""
+def feed_files(spark: SparkSession, run: str, source: Source) -> DataFrame:
+    """(company, corrupt), one row per landed XML feed, so that an empty feed counts too.
+
+    Reading by element never sees that a feed breaks off, so the end of each file must
+    close the element that its beginning opens.
+    """
     path = listing_path(run, source)
-    return (
-        spark.read.format("binaryFile")
-        .option("basePath", path)
-        .load(path)
-        .select(F.col("company").cast("string").alias("company"))
-        .distinct()
-        .withColumn("corrupt", F.lit(False))
-    )
+    files = spark.read.format("binaryFile").option("basePath", path).load(path)
+    # Tags are ASCII in both encodings, and cut characters do not matter here.
+    head = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
+    tail = F.decode(F.substring("content", -4096, 4096), "ISO-8859-1")
+    root = F.regexp_extract(head, r"<([^?!/\s>]+)", 1)
+    last = F.regexp_extract(tail, r"</([^/\s>]+)\s*>\s*(?:<!--[^>]*-->\s*)*\z", 1)
+    alone = tail.rlike(r"/>\s*\z") & (F.regexp_count(head, F.lit("<[^?!]")) == 1)
+    whole = (root != "") & ((last == root) | alone)
+    return files.select(F.col("company").cast("string").alias("company"), (~whole).alias("corrupt"))
 
 
 def _exploded(documents: DataFrame, source: Source) -> DataFrame:
@@ -109,8 +113,7 @@ def read_items(spark: SparkSession, run: str, source: Source) -> DataFrame:
         F.lit(None).cast("int").alias("announced"),
         F.col(CORRUPT).isNotNull().alias("corrupt"),
     )
-    # Reading by element shows nothing of an empty feed; its file does.
-    return items.unionByName(landed_companies(spark, run, source), allowMissingColumns=True)
+    return items.unionByName(feed_files(spark, run, source), allowMissingColumns=True)
 
 
 def documents_from_bodies(bodies: DataFrame, source: Source) -> DataFrame:

@@ -230,6 +230,24 @@ def test_empty_feeds_count_as_scanned(spark, tmp_path):
     assert usable(rows) == [] and complete(rows) == {"Echo": True}
 
 
+def test_a_feed_that_breaks_off_is_incomplete(spark, tmp_path):
+    whole = flat_feed({"jobid": "1", "title": "ä"}, {"jobid": "2", "title": "b"})
+    texts = {
+        "Whole": whole + "\n<!-- end -->\n",
+        "Cut": whole[: whole.index("<job><jobid>2") + 8],
+        "CutBetween": whole[: whole.index("<job><jobid>2")],
+        "Alone": '<?xml version="1.0"?>\n<jobs/>',
+        "Nothing": "",
+    }
+    companies = [type(FEED)(name, "google") for name in texts]
+    for company in companies:
+        listing(tmp_path, company, texts[company.name])
+    rows = read(spark, tmp_path, *companies)
+    # A file without any bytes is no landed listing at all; like an incomplete one, it closes nothing.
+    assert complete(rows) == {"Whole": True, "Cut": False, "CutBetween": False, "Alone": True}
+    assert {r.unique_key for r in usable(rows)} == {"Whole::1", "Whole::2", "Cut::1", "CutBetween::1"}
+
+
 def test_order_of_a_long_feed(spark, tmp_path):
     count = 30_000
     listing(tmp_path, FEED, flat_feed(*[{"jobid": str(i), "title": "x" * 50} for i in range(count)]))

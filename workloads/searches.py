@@ -229,7 +229,7 @@ def topk_per_search(spark, sf):
         key.alias("unique_key"),
         F.col("o_orderpriority").alias("search_name"),
         F.floor(F.col("o_totalprice") / 5000).cast("int").alias("fit_score"),
-        (F.col("o_custkey") % 101).cast("int").alias("desirability_score"),
+        F.floor(F.dayofyear("o_orderdate") / 4).cast("int").alias("desirability_score"),
         (F.col("o_orderstatus") == "P").alias("hard_fail"),
     )
     jobs = orders.select(key.alias("unique_key"), F.col("o_orderdate").cast("date").cast("string").alias("posted_date"))
@@ -242,7 +242,7 @@ TOPK_PER_SEARCH = """
 WITH scored AS (
     SELECT concat_ws('::', o_orderstatus, o_orderkey) AS unique_key, o_orderpriority AS search_name,
         CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS posted_date,
-        floor(o_totalprice / 5000)::INT AS fit_score, (o_custkey % 101)::INT AS desirability_score
+        floor(o_totalprice / 5000)::INT AS fit_score, floor(dayofyear(o_orderdate) / 4)::INT AS desirability_score
     FROM orders WHERE o_orderstatus <> 'P'),
 ranked AS (
     SELECT search_name, unique_key, posted_date, fit_score + desirability_score AS combined_score,
