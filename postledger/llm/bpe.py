@@ -264,8 +264,6 @@ def unpack(packed: bytes) -> list[int]:
 
 _BIG_ENDIAN = array("I", [1]).tobytes()[0] == 0
 
-_CODECS: dict[int, Codec] = {}
-
 
 def shared_vocabulary(spark: SparkSession, path: str):
     """The content of a vocabulary file as a broadcast of checked size."""
@@ -275,12 +273,15 @@ def shared_vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(content)
 
 
+def kept_beside(content, name: str, make: Callable[[], object]):
+    """What ``make`` gives, kept on the broadcast, which a Python worker holds from task to task."""
+    if not hasattr(content, name):
+        setattr(content, name, make())
+    return getattr(content, name)
+
+
 def _codec(content) -> Codec:
-    """This worker's codec for a broadcast vocabulary."""
-    if content.id not in _CODECS:
-        _CODECS.clear()
-        _CODECS[content.id] = Codec(Vocabulary(content.value))
-    return _CODECS[content.id]
+    return kept_beside(content, "codec", lambda: Codec(Vocabulary(content.value)))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", to: str = "packed_ids") -> DataFrame:

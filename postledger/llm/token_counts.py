@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postledger.llm.bpe import Memo, Vocabulary, shared_vocabulary
+from postledger.llm.bpe import Memo, Vocabulary, kept_beside, shared_vocabulary
 from postledger.llm.shared import text_of
 
 
@@ -51,17 +51,6 @@ class Counter:
         return n
 
 
-_COUNTERS: dict[int, Counter] = {}
-
-
-def _counter(content, whole) -> Counter:
-    """This worker's counter for a broadcast vocabulary."""
-    if content.id not in _COUNTERS:
-        _COUNTERS.clear()
-        _COUNTERS[content.id] = Counter(Vocabulary(content.value), whole.value)
-    return _COUNTERS[content.id]
-
-
 def count_tokens(docs: DataFrame, path: str, text: str = "text", to: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of tokens of every whole text in ``to``.
 
@@ -75,7 +64,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", to: str = "n_to
 
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _counter(content, whole)
+        counter = kept_beside(content, "counter", lambda: Counter(Vocabulary(content.value), whole.value))
         for batch in batches:
             yield pd.Series([counter.count(t) for t in batch], dtype="int64")
 
