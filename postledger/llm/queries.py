@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postledger.llm import bpe, quality, token_counts
-from postledger.llm.shared import text_of
+from postledger.llm import bpe, quality, secret_scan, token_counts
+from postledger.llm.shared import text_of, workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = secret_scan.BlobLedger(spark, workspace(spark, "ledger"))
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), ledger)
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin([rule.kind for rule in secret_scan.BASE_RULES]))
+    return found.select(
+        "doc_id",
+        *[secret_scan.count_of(spans, rule.kind).alias(f"n_{rule.kind}") for rule in secret_scan.BASE_RULES],
+        F.sha2(secret_scan.shown(base), 256).alias("base_sha256"),
+        secret_scan.shown(spans).alias("spans"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -44,6 +57,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op3_secret_scan": (op3_secret_scan, None),
     "op4_bpe": (op4_bpe, None),
     "op5_quality": (op5_quality, None),
 }
