@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postledger.llm import bpe, quality, secret_scan, token_counts
+from postledger.llm import bpe, dart_minhash, quality, secret_scan, token_counts
 from postledger.llm.shared import text_of, workspace
 
 
@@ -55,9 +55,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "log_ratio")
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_bpe": (op4_bpe, None),
     "op5_quality": (op5_quality, None),
+    "op9_dart_minhash": (op9_dart_minhash, None),
 }
