@@ -214,18 +214,18 @@ def mixed_sql(mix: Mix = Mix()) -> str:
     ), flat(k, low, high) AS (
         SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
         UNION ALL
-        SELECT k + 1, CASE WHEN ok THEN at ELSE low END, CASE WHEN ok THEN high ELSE at END
-        FROM (SELECT k, low, high, at, ln(z) - at * e / z >= {mix.entropy} * ln(n) - 1e-12 AS ok
-              FROM (SELECT k, low, high, any_value((low + high) / 2) AS at, any_value(n) AS n,
+        SELECT k + 1, CASE WHEN ok THEN mid ELSE low END, CASE WHEN ok THEN high ELSE mid END
+        FROM (SELECT k, low, high, mid, ln(z) - mid * e / z >= {mix.entropy} * ln(n) - 1e-12 AS ok
+              FROM (SELECT k, low, high, any_value((low + high) / 2) AS mid, any_value(n) AS n,
                            sum(pow(tokens / total, (low + high) / 2)) AS z,
                            sum(pow(tokens / total, (low + high) / 2) * ln(tokens / total)) AS e
                     FROM flat, facts, sources WHERE tokens > 0 AND k < 60 GROUP BY k, low, high))
     ), steep(k, low, high) AS (
         SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
         UNION ALL
-        SELECT k + 1, CASE WHEN over THEN at ELSE low END, CASE WHEN over THEN high ELSE at END
-        FROM (SELECT k, low, high, at, pow(least / total, at - 1) / z > {mix.max_repeats} AS over
-              FROM (SELECT k, low, high, any_value((low + high) / 2) AS at, any_value(least) AS least,
+        SELECT k + 1, CASE WHEN over THEN mid ELSE low END, CASE WHEN over THEN high ELSE mid END
+        FROM (SELECT k, low, high, mid, pow(least / total, mid - 1) / z > {mix.max_repeats} AS over
+              FROM (SELECT k, low, high, any_value((low + high) / 2) AS mid, any_value(least) AS least,
                            any_value(total) AS total, sum(pow(tokens / total, (low + high) / 2)) AS z
                     FROM steep, facts, sources WHERE tokens > 0 AND k < 60 GROUP BY k, low, high))
     ), chosen AS (
