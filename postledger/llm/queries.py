@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postledger.llm import bpe, chat, dart_minhash, mixing, quality, secret_scan, token_counts
+from postledger.llm import bpe, chat, dart_minhash, mixing, multi_index, quality, secret_scan, token_counts
 from postledger.llm.shared import text_of, workspace
 
 
@@ -55,6 +55,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept", "log_ratio")
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return multi_index.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_bpe": (op4_bpe, None),
     "op5_quality": (op5_quality, None),
+    "op6_multi_index": (op6_multi_index, None),
     "op7_mixing": (op7_mixing, mixing.mixed_sql()),
     "op8_chat": (op8_chat, chat.digest_sql()),
     "op9_dart_minhash": (op9_dart_minhash, None),
