@@ -7,7 +7,8 @@ appends, and joins all findings back to every path that holds the blob.
 
 Only DataFrame code.  Deciding what is unseen needs digests and ids only.  The text of the
 chosen copies is fetched by a semi join on row keys, so copies of one blob, however many,
-never meet in one task; in a later run few blobs are unseen and the join is a broadcast.
+never meet in one task: the first run shuffles each text once, a later one little more than
+the unseen ones, as Spark broadcasts a short list of them or filters by it.
 """
 
 from __future__ import annotations
@@ -155,7 +156,7 @@ def scan(docs: DataFrame, ledger: BlobLedger, rule_set: RuleSet = RuleSet(), pat
     )
     unseen = written(unseen, f"{folder}/unseen")
     # One copy of a blob: any row of the chosen path that has this digest.
-    chosen = broadcast_within(unseen.select(F.col("path").alias("chosen_path"), F.col("blob").alias("chosen_blob")))
+    chosen = unseen.select(F.col("path").alias("chosen_path"), F.col("blob").alias("chosen_blob"))
     copies = rows.withColumn("blob", blob_of(F.col("text"))).join(
         chosen, F.col("path").eqNullSafe(F.col("chosen_path")) & (F.col("blob") == F.col("chosen_blob")), "left_semi"
     )
