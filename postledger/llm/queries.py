@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postledger.llm import bpe, chat, dart_minhash, mixing, multi_index, quality, secret_scan, token_counts
+from postledger.llm import bpe, chat, dart_minhash, mixing, multi_index, quality, secret_scan, token_counts, warc
 from postledger.llm.shared import text_of, workspace
 
 
@@ -31,6 +31,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages, warc.Archive(workspace(spark, "warc"))).drop("url")
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = secret_scan.BlobLedger(spark, workspace(spark, "ledger"))
     found = secret_scan.scan(table(spark, sf_dir, "documents"), ledger)
@@ -77,6 +82,7 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
+    "op2_warc": (op2_warc, None),
     "op3_secret_scan": (op3_secret_scan, None),
     "op4_bpe": (op4_bpe, None),
     "op5_quality": (op5_quality, None),
