@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postledger.llm import bpe, chat, dart_minhash, mixing, multi_index, quality, secret_scan, token_counts, warc
+from postledger.llm import bpe, chat, dart_minhash, language, mixing, multi_index, quality, secret_scan, token_counts, warc
 from postledger.llm.shared import text_of, workspace
 
 
@@ -80,6 +80,18 @@ def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages by text, markup, suffix and host, and all documents by text and source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    pages = language.page_rows(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    none = F.lit(None).cast("string")
+    plain = docs.select(
+        "doc_id", "text", none.alias("declared"), F.col("source").alias("host"), none.alias("domain"), none.alias("suffix")
+    )
+    rows = plain.unionByName(pages, allowMissingColumns=True)
+    return language.identify(rows, docs.select("text", "lang"), ["doc_id", "page_id"])
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_warc": (op2_warc, None),
@@ -90,4 +102,5 @@ QUERIES = {
     "op7_mixing": (op7_mixing, mixing.mixed_sql()),
     "op8_chat": (op8_chat, chat.digest_sql()),
     "op9_dart_minhash": (op9_dart_minhash, None),
+    "op10_language": (op10_language, None),
 }
