@@ -32,6 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Exponents per round of the bisection, rounds, and the decimals that are kept.
 _GRID, _ROUNDS, _DECIMALS = 256, 4, 6
 _BITS = 52
+# Epochs this close to a whole number are whole.
+_SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -139,7 +141,7 @@ def plan(sizes: DataFrame, mix: Mix, folder: str) -> DataFrame:
     epochs = F.when(F.col("tokens") > 0, raised / z * budget / F.col("tokens")).otherwise(1.0)
     sources = sources.select(
         "source", "tokens", (F.col("tokens") / total).alias("share"), (raised / z).alias("weight"), epochs.alias("epochs")
-    ).withColumn("full", F.floor("epochs").cast("int"))
+    ).withColumn("full", F.floor(F.col("epochs") + _SLACK).cast("int"))
     ordered = blocks.withColumnsRenamed({"source": "of", "tokens": "block_tokens"}).join(
         sources, F.col("of").eqNullSafe(F.col("source"))
     )
@@ -240,7 +242,7 @@ def mixed_sql(mix: Mix = Mix()) -> str:
         UNION ALL SELECT source, tokens, 1.0 FROM sources WHERE tokens = 0
     ), blocks AS (
         SELECT s.source, s.block, sum(n_tokens) AS block_tokens, any_value(q.tokens) AS tokens,
-               any_value(epochs) AS epochs, any_value(CAST(floor(epochs) AS INTEGER)) AS whole
+               any_value(epochs) AS epochs, any_value(CAST(floor(epochs + {_SLACK}) AS INTEGER)) AS whole
         FROM sizes s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source GROUP BY s.source, s.block
     ), ordered AS (
         SELECT *, {key(seed, "whole", "source", "block")} AS key FROM blocks
