@@ -34,13 +34,13 @@ TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 
 @dataclass(frozen=True)
 class Rules:
-    """``buckets``: of hashed n-grams.  ``smoothing``: pseudo-count per bucket of the target,
-    relative to the raw share.  ``threshold``: least mean log ratio of a kept document.
+    """``buckets``: of hashed n-grams.  ``smoothing``: added to how often the target has a bucket
+    and to how often it would by the raw shares, so that rare buckets say little.  ``threshold``: least mean log ratio of a kept document.
     ``max_trusted``: how many labelled documents the target multinomial is counted on, those
     of least hashed id."""
 
     buckets: int = 1 << 15
-    smoothing: float = 1.0
+    smoothing: float = 5.0
     threshold: float = -0.35
     max_trusted: int = 20_000
 
@@ -157,9 +157,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, rules: Rules, folder: str) ->
     counts = written(all_buckets.join(counts, "bucket", "left").fillna(0, ["raw", "target"]), f"{folder}/ngrams")
     sums = counts.agg(F.struct(F.sum("raw").alias("raw"), F.sum("target").alias("target"))).scalar()
     share = (F.col("raw") + 1) / (sums["raw"] + rules.buckets)
-    prior = rules.smoothing * rules.buckets
-    target = (F.col("target") + prior * share) / (sums["target"] + prior)
-    return counts.select("bucket", F.log(target / share).alias("ratio")).agg(
+    ratio = (F.col("target") + rules.smoothing) / (sums["target"] * share + rules.smoothing)
+    return counts.select("bucket", F.log(ratio).alias("ratio")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda r: r["ratio"]).alias("ratios")
     )
 
