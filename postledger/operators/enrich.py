@@ -10,16 +10,22 @@ def enrich(rows: DataFrame, details: DataFrame) -> DataFrame:
     """Replace description (and department, where the detail brings one) of rows that
     have a detail document; leave the others as they are.  Adds ``enriched``.
 
-    ``details`` holds one row per ``detail_ref``.  Rows without a reference get a key
-    of their own, which matches nothing, because joining them on null would send all
-    of them to one task.
+    Of several details of one ``detail_ref`` the last one by ``detail_order`` counts.
+    Details that no row refers to are left out before anything else.  Rows without a
+    reference get a key of their own, which matches nothing, because joining them on null
+    would send all of them to one task.
     """
     key = F.coalesce(F.col("detail_ref"), F.concat(F.lit("\x1e"), F.col("unique_key")))
-    found = details.select(
-        F.col("detail_ref").alias("_ref"),
-        "detail_description",
-        "detail_department",
-        F.lit(True).alias("_found"),
+    order = F.col("detail_order") if "detail_order" in details.columns else F.lit(0).cast("bigint")
+    needed = rows.select("detail_ref").where(F.col("detail_ref").isNotNull()).distinct()
+    last = (
+        details.withColumn("detail_order", order)
+        .join(needed, "detail_ref", "left_semi")
+        .groupBy("detail_ref")
+        .agg(F.max(F.struct("detail_order", "detail_description", "detail_department")).alias("last"))
+    )
+    found = last.select(
+        F.col("detail_ref").alias("_ref"), "last.detail_description", "last.detail_department", F.lit(True).alias("_found")
     )
     joined = rows.withColumn("_key", key).join(found, F.col("_key") == F.col("_ref"), "left")
     return joined.withColumns(

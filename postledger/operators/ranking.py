@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postledger.functions.scalars import combined_score
-from postledger.operators.bounds import MAX_ROWS
 
 # Defaults of a ranking.
 MIN_FIT, MIN_DESIRABILITY, LIMIT = 60, 60, 10
 
+# Ranked rows, each with a score in full, that are broadcast.
+FEW = 10_000
+
 _GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _SALTS = 256
 
@@ -73,16 +77,20 @@ def best_of_all(
     min_desirability: int = MIN_DESIRABILITY,
     limit: int = LIMIT,
     active_only: bool = False,
+    searches: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The best scores of every search in one pass, with their ``rank``."""
+    """The best scores of every search in one pass, with their ``rank``; of ``searches`` only,
+    if they are given by name."""
+    if searches is not None:
+        scores = scores.where(F.col("search_name").isin(*searches))
     candidates = stored_only(eligible(scores, min_fit, min_desirability), stored, active_only)
     return top_per_group(candidates, ["search_name"], limit, _order())
 
 
 def with_listings(best: DataFrame, listings: DataFrame, rows: int) -> DataFrame:
-    """Ranked scores with their listings.  ``rows`` is the most rows ``best`` can have; the
-    wide side is neither shuffled nor sorted while that is within the broadcast bound."""
-    few = F.broadcast(best) if rows <= MAX_ROWS else best
+    """Ranked scores with their listings.  ``rows`` is the most rows ``best`` can have, by its
+    limits; the wide side is neither shuffled nor sorted while they are few."""
+    few = F.broadcast(best) if rows <= FEW else best
     return listings.join(few, "unique_key")
 
 
@@ -92,7 +100,10 @@ def rank_search(listings: DataFrame, scores: DataFrame, search_name: str, limit:
     return with_listings(best, listings, limit).orderBy(*_order()).limit(limit)
 
 
-def rank_searches(listings: DataFrame, scores: DataFrame, searches: int, limit: int = LIMIT, **options) -> DataFrame:
-    """The best listings of all searches.  ``searches`` is how many there are."""
-    best = best_of_all(listings, scores, limit=limit, **options)
-    return with_listings(best, listings, limit * searches)
+def rank_searches(
+    listings: DataFrame, scores: DataFrame, searches: Sequence[str], limit: int = LIMIT, **options
+) -> DataFrame:
+    """The best listings of each of ``searches``, which are given by name."""
+    names = sorted(set(searches))
+    best = best_of_all(listings, scores, limit=limit, searches=names, **options)
+    return with_listings(best, listings, limit * len(names))

@@ -39,20 +39,39 @@ def render_prompts(pairs: DataFrame, searches: DataFrame) -> DataFrame:
     )
 
 
-def ask(prompts: DataFrame, score_batch: ScoreBatch = offline_scorer) -> DataFrame:
-    """One answer per prompt.  The callable sees one Arrow batch of prompts at a time."""
+def ask(prompts: DataFrame, score_batch: ScoreBatch = offline_scorer, tasks: int | None = None) -> DataFrame:
+    """One answer, or the error of the model, per prompt.
+
+    The callable sees one Arrow batch of prompts at a time; ``tasks`` says how many run at
+    most, which otherwise follows from the size of the prompts.
+    """
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            replies = score_batch(batch.column("prompt").to_pylist())
-            if len(replies) != batch.num_rows:
-                raise ValueError(f"{batch.num_rows} prompts but {len(replies)} answers")
+            told = _replies(batch.column("prompt").to_pylist(), score_batch)
             keys = [batch.column(name) for name in ANSWER_KEYS]
-            yield pa.RecordBatch.from_arrays(
-                [*keys, pa.array(replies, pa.string())], [*ANSWER_KEYS, "answer"]
-            )
-
-    return prompts.select(*ANSWER_KEYS, "prompt").mapInArrow(answer, schemas.ANSWERS)
+            replies, errors = (pa.array([row[k] for row in told], pa.string()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([*keys, replies, errors], [*ANSWER_KEYS, "answer", "error"])
+
+    rows = prompts.select(*ANSWER_KEYS, "prompt")
+    if tasks:
+        rows = rows.repartition(tasks)
+    return rows.mapInArrow(answer, schemas.ANSWERS)
+
+
+def _replies(prompts: list[str], score_batch: ScoreBatch) -> list[tuple[str | None, str | None]]:
+    """(answer, error) per prompt.  A batch that fails is asked again in halves, so that one
+    refused prompt costs no other one its answer."""
+    try:
+        replies = score_batch(prompts)
+    except Exception as error:  # whatever a model client raises
+        if len(prompts) == 1:
+            return [(None, repr(error)[:1000])]
+        half = len(prompts) // 2
+        return _replies(prompts[:half], score_batch) + _replies(prompts[half:], score_batch)
+    if len(replies) != len(prompts):
+        raise ValueError(f"{len(prompts)} prompts but {len(replies)} answers")
+    return [(reply, None) for reply in replies]
 
 
 def read_answers(answers: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postledger.operators.bounds import MAX_ROWS
+from postledger.config import Search
 from postledger.operators.ranking import LIMIT, best_of_all, best_of_search, with_listings
 from postledger.tables import SCORE_KEYS, Ledger
 
@@ -21,10 +23,15 @@ def rank(ledger: Ledger, search_name: str, limit: int = LIMIT, **options) -> Dat
     return _listings(ledger, best, limit).orderBy(*order).limit(limit)
 
 
-def rank_all(ledger: Ledger, searches: int, limit: int = LIMIT, **options) -> DataFrame:
-    """The best listings of every search.  Options as in ``best_of_all``."""
-    best = best_of_all(ledger.current_state(), ledger.current_score_state(), limit=limit, **options)
-    return _listings(ledger, best, limit * searches)
+def rank_all(ledger: Ledger, searches: Sequence[Search], limit: int = LIMIT, **options) -> DataFrame:
+    """The best listings of each of ``searches``.  Options as in ``best_of_all``.
+
+    Scores of searches that are no longer configured do not rank.
+    """
+    names = sorted({search.name for search in searches})
+    scores = ledger.current_score_state()
+    best = best_of_all(ledger.current_state(), scores, limit=limit, searches=names, **options)
+    return _listings(ledger, best, limit * len(names))
 
 
 def _listings(ledger: Ledger, best: DataFrame, rows: int) -> DataFrame:
@@ -46,5 +53,6 @@ def _listings(ledger: Ledger, best: DataFrame, rows: int) -> DataFrame:
         postings, state = postings.where(wanted), state.where(wanted)
         scores = scores.where(wanted & F.col("scored_run").isin(runs))
     ranked = with_listings(with_listings(best, postings, rows), state, rows)
-    full = scores.join(F.broadcast(ranked) if rows <= MAX_ROWS else ranked, SCORE_KEYS)
+    few = F.broadcast(ranked) if rows <= LOOKUP_KEYS else ranked
+    full = scores.join(few, SCORE_KEYS)
     return full.drop("scored_run")

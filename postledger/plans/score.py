@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postledger.config import Search, searches_frame, select_searches
-from postledger.operators.matching import gate_failures, match_searches, stale
+from postledger.operators.matching import MODEL_STAGE, gate_failures, match_searches, stale
 from postledger.operators.reports import search_report
 from postledger.operators.scoring import (
     ANSWER_KEYS,
@@ -32,12 +32,15 @@ def score(
     run_ts: datetime,
     score_batch: ScoreBatch = offline_scorer,
     target: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Score what has no current score, for all searches or for ``target``; returns the report.
 
     Stale pairs are found on narrow columns.  Only pairs that pass the title gate fetch
     their text, and only from the sync runs that stored them.  Answers are written
     before anything is done with them: a repeated run asks only for what is missing.
+    Prompts whose model call fails get no score, are counted in the report, and are asked
+    again by the next run.  ``tasks`` bounds how many calls run at a time.
     """
     chosen = select_searches(searches, target)
     spark, run = ledger.spark, ledger.last_scoring() + 1
@@ -53,15 +56,16 @@ def score(
     passed = pairs.where("title_ok").select(*ANSWER_KEYS, "stored_run")
     attempts = ledger.answers(run)
     attempt = max(attempts.runs(), default=0) + 1
-    missing = passed.join(attempts.read_until(attempt).select(*ANSWER_KEYS), ANSWER_KEYS, "left_anti")
+    asked = attempts.read_until(attempt).where("error IS NULL").select(*ANSWER_KEYS)
+    missing = passed.join(asked, ANSWER_KEYS, "left_anti")
     # One number per sync run, so that only those runs' texts are read.
     stored = [row.stored_run for row in missing.select("stored_run").distinct().collect()]
     texts = postings.where(F.col("stored_run").isin(stored)).drop("stored_run")
     prompts = render_prompts(missing.join(texts, "unique_key"), frame)
-    attempts.write(ask(prompts, score_batch), attempt)
+    written = attempts.write(ask(prompts, score_batch, tasks), attempt)
 
     # A dead run may have asked under other settings; only what passes now counts.
-    answers = attempts.read_until(attempt).join(passed.select(*ANSWER_KEYS), ANSWER_KEYS, "left_semi")
+    answers = attempts.read_until(attempt).where("error IS NULL").join(passed.select(*ANSWER_KEYS), ANSWER_KEYS, "left_semi")
     fresh = ledger.scores.write(
         gate_failures(pairs, frame)
         .unionByName(read_answers(answers))
@@ -71,4 +75,11 @@ def score(
     )
     current = fresh.withColumn("scored_run", F.lit(run)).select(*previous.columns)
     ledger.score_state.write(upsert_scores(previous, current), run)
-    return ledger.score_report.write(search_report(fresh), run)
+    failed = written.where("error IS NOT NULL").select("search_name", F.lit(MODEL_STAGE).alias("stage_reached"))
+    failed = failed.groupBy("search_name", "stage_reached").agg(F.count("*").alias("failed_calls"))
+    # At most a row per search and stage on either side.
+    report = search_report(fresh).join(failed, ["search_name", "stage_reached"], "full")
+    counts = ("processed", "hard_failed", "unreadable", "failed_calls")
+    return ledger.score_report.write(
+        report.select("search_name", "stage_reached", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts]), run
+    )

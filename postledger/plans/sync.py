@@ -107,7 +107,7 @@ def sync_listed(
     in_region = in_regions(F.col("location"), regions)
 
     staged = ledger.listed.write(listed.withColumn("row_id", F.monotonically_increasing_id()), run)
-    scanned = ledger.scanned.write(completeness(staged).coalesce(1), run)
+    scanned = ledger.scanned.write(completeness(staged), run)
     usable = staged.where("usable")
 
     chosen = choose_keys(usable, in_region)

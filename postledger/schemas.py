@@ -44,10 +44,11 @@ SCORES = """
     profile_hash STRING, requirements_hash STRING, scored_at TIMESTAMP, parse_ok BOOLEAN
 """
 
-# Raw model answers, kept so that a repeated run does not ask twice.
+# Raw model answers, kept so that a repeated run does not ask twice.  A prompt whose model
+# call failed has an error instead, and is asked again.
 ANSWERS = """
     unique_key STRING, search_name STRING, profile_hash STRING,
-    requirements_hash STRING, answer STRING
+    requirements_hash STRING, answer STRING, error STRING
 """
 
 RUN_REPORT = """
@@ -70,7 +71,7 @@ CURRENT_SCORES = """
 
 SCORE_REPORT = """
     search_name STRING, stage_reached INT, processed BIGINT, hard_failed BIGINT,
-    unreadable BIGINT
+    unreadable BIGINT, failed_calls BIGINT
 """
 
 SEARCHES = """
@@ -83,3 +84,6 @@ SEARCHES = """
 COMPANIES = "company STRING, ats STRING, config MAP<STRING, STRING>"
 
 SCANNED = "company STRING, complete BOOLEAN"
+
+# Which landed run a sync run merged, for those that came through the stream.
+MERGED_RUNS = "landed_run STRING"

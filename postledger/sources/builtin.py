@@ -68,21 +68,20 @@ def _board(item: Column, settings: Column) -> Mapping[str, Column]:
         "url": item["absolute_url"],
         "location": item["location"]["name"],
         "department": first_or_default(item["departments"], "name"),
-        "detail_key": F.when(item["id"] != 0, id_text(item["id"])),
+        "detail_key": F.when(item["id"] != "0", id_text(item["id"])),
     }
 
 
 BOARD = register(
     Source(
         name="greenhouse",
-        document="""jobs ARRAY<STRUCT<id: BIGINT, title: STRING, absolute_url: STRING,
-            location: STRUCT<name: STRING>, departments: ARRAY<STRUCT<id: BIGINT, name: STRING>>,
-            updated_at: STRING>>""",
+        # Only fields that are read, so that no other one can be of a wrong type.
+        document="""jobs ARRAY<STRUCT<id: STRING, title: STRING, absolute_url: STRING,
+            location: STRUCT<name: STRING>, departments: ARRAY<STRUCT<name: STRING>>>>""",
         items="jobs",
         fields=_board,
         detail=Detail(
-            document="""id BIGINT, title STRING, content STRING, absolute_url STRING,
-                location STRUCT<name: STRING>, departments ARRAY<STRUCT<id: BIGINT, name: STRING>>""",
+            document="content STRING",
             fields=lambda document: {"raw_description": document["content"]},
         ),
     )

@@ -19,8 +19,9 @@ from postledger.sources.registry import Source
 
 CORRUPT = "_corrupt"
 
-# Pages are numbered by row offset; within a page rows are numbered from zero.
-_PAGE_SHIFT = 20
+# Pages are numbered by row offset; within a page rows are numbered from zero, and an array
+# cannot hold more than this leaves room for.
+_PAGE_SHIFT = 31
 
 # Text is kept as it is: no trimming, and no guessing of nulls.
 _XML_TEXT = {"ignoreSurroundingSpaces": "false", "columnNameOfCorruptRecord": CORRUPT}
@@ -37,24 +38,62 @@ def detail_path(run: str, source: Source) -> str:
 def feed_files(spark: SparkSession, run: str, source: Source) -> DataFrame:
     """(company, corrupt), one row per landed XML feed, so that an empty feed counts too.
 
-    Reading by element never sees that a feed breaks off, so the end of each file must
-    close the element that its beginning opens.
+    Reading by element never sees that a feed breaks off.  A feed is whole if the element
+    that it opens first is closed behind its last item tag.  The files are split at ``>``
+    for that, so tasks share a long one and hold a tag at a time.  The first element is the
+    first piece that begins with a tag: a comment before it may hold tags, but not a ``>``
+    with a tag right behind it.
     """
     path = listing_path(run, source)
-    files = spark.read.format("binaryFile").option("basePath", path).load(path)
-    # Tags are ASCII in both encodings, and cut characters do not matter here.
-    head = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
-    tail = F.decode(F.substring("content", -4096, 4096), "ISO-8859-1")
-    root = F.regexp_extract(head, r"<([^?!/\s>]+)", 1)
-    last = F.regexp_extract(tail, r"</([^/\s>]+)\s*>\s*(?:<!--[^>]*-->\s*)*\z", 1)
-    alone = tail.rlike(r"/>\s*\z") & (F.regexp_count(head, F.lit("<[^?!]")) == 1)
-    whole = (root != "") & ((last == root) | alone)
-    return files.select(F.col("company").cast("string").alias("company"), (~whole).alias("corrupt"))
+    raw = (
+        spark.read.format("text")
+        .schema("value STRING, company STRING")
+        .option("basePath", path)
+        .option("lineSep", ">")
+        .load(path)
+    )
+    tag = F.col("value")
+    opened = F.nullif(F.regexp_extract(tag, r"^\s*<([\p{L}_:][^\s/<]*)", 1), F.lit(""))
+    closed = F.nullif(F.regexp_extract(tag, r"</([^\s/<]+)\s*$", 1), F.lit(""))
+    pieces = raw.select(
+        "company",
+        F.col("_metadata.file_path").alias("file"),
+        _position().alias("position"),
+        opened.alias("opened"),
+        tag.rlike(r"/\s*$").alias("alone"),
+        closed.alias("closed"),
+        tag.rlike(rf"</?\Q{source.row_tag}\E(\s[^<]*)?/?\s*$").alias("of_item"),
+    )
+    first = F.min(F.when(F.col("opened").isNotNull(), F.struct("position", "opened", "alone")))
+    # A row per file and name of a closing tag, then a row per file.
+    names = pieces.groupBy("company", "file", "closed").agg(
+        F.max("position").alias("at"), first.alias("first"), F.max(F.when(F.col("of_item"), F.col("position"))).alias("item")
+    )
+    files = names.groupBy("company", "file").agg(
+        F.min("first").alias("first"), F.max("item").alias("item"), F.collect_list(F.struct("closed", "at")).alias("ends")
+    )
+    last = F.coalesce("item", F.lit(-1))
+    ended = F.exists("ends", lambda end: (end["closed"] == F.col("first.opened")) & (end["at"] > last))
+    return files.select("company", (~F.coalesce(ended | F.col("first.alone"), F.lit(False))).alias("corrupt"))
+
+
+def _position() -> Column:
+    """A number that grows along a file.
+
+    A task holds at most one full block of a file, and a block has more bytes than rows, so
+    block start plus row number keeps the order of the document.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") + row
 
 
 def _exploded(documents: DataFrame, source: Source) -> DataFrame:
     """(company, offset, ordinal, item, announced, corrupt): one row per item of each
-    document, and one without an item for a document that has none."""
+    document, and one without an item for a document that has none.
+
+    A field of another type than declared is null and marks its document as corrupt; the
+    document's items stay.  A document that does not parse at all has none.
+    """
     announced = F.col(f"document.{source.total}") if source.total else F.lit(None).cast("int")
     exploded = documents.select(
         "company",
@@ -67,6 +106,15 @@ def _exploded(documents: DataFrame, source: Source) -> DataFrame:
     return exploded.select("company", "offset", ordinal.alias("ordinal"), "item", "announced", "corrupt")
 
 
+def _is_corrupt(field: str) -> Column:
+    """Whether a record did not parse as declared.
+
+    Spark refuses to read files for the corrupt record alone, so a field stands beside it.
+    """
+    told = F.when(F.col(f"`{field}`").isNull(), F.col(CORRUPT).isNotNull()).otherwise(F.length(CORRUPT) > 0)
+    return F.coalesce(told, F.lit(False))
+
+
 def read_documents(spark: SparkSession, run: str, source: Source) -> DataFrame:
     """(company, offset, document, corrupt) of a JSON source."""
     path = listing_path(run, source)
@@ -84,7 +132,7 @@ def read_documents(spark: SparkSession, run: str, source: Source) -> DataFrame:
         "company",
         F.coalesce(number.try_cast("bigint"), F.lit(0).cast("bigint")).alias("offset"),
         F.struct(*fields).alias("document"),
-        F.col(CORRUPT).isNotNull().alias("corrupt"),
+        _is_corrupt(fields[0]).alias("corrupt"),
     )
 
 
@@ -101,17 +149,17 @@ def read_items(spark: SparkSession, run: str, source: Source) -> DataFrame:
         .options(**_XML_TEXT)
         .load(path)
     )
-    fields = [F.col(f"`{c}`") for c in raw.columns if c not in (CORRUPT, "company")]
-    # A task holds at most one full block of a file, and a block has more bytes than
-    # items, so block start plus row number keeps the order of the document.
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    names = [c for c in raw.columns if c not in (CORRUPT, "company")]
+    fields = [F.col(f"`{c}`") for c in names]
+    # An element that does not parse is no item.
+    whole = ~_is_corrupt(names[0])
     items = raw.select(
         "company",
         F.lit(0).cast("bigint").alias("offset"),
-        (F.col("_metadata.file_block_start") + row).alias("ordinal"),
-        F.struct(*fields).alias("item"),
+        F.when(whole, _position()).alias("ordinal"),
+        F.when(whole, F.struct(*fields)).alias("item"),
         F.lit(None).cast("int").alias("announced"),
-        F.col(CORRUPT).isNotNull().alias("corrupt"),
+        (~whole).alias("corrupt"),
     )
     return items.unionByName(feed_files(spark, run, source), allowMissingColumns=True)
 
@@ -138,16 +186,19 @@ def detail_ref(company: Column, detail_key: Column) -> Column:
 
 
 def _detail_rows(documents: DataFrame, source: Source) -> DataFrame:
+    """A detail with a field of another type counts as long as its text is there."""
     fields = source.detail.fields(F.col("document"))
-    return documents.select(
+    usable = documents.where(~F.col("corrupt") | fields["raw_description"].isNotNull())
+    return usable.select(
         detail_ref(F.col("company"), F.col("detail_key")).alias("detail_ref"),
         F.coalesce(fields["raw_description"], F.lit("")).alias("detail_description"),
         fields.get("department", F.lit(None).cast("string")).alias("detail_department"),
+        "detail_order",
     )
 
 
 def read_details(spark: SparkSession, run: str, source: Source) -> DataFrame:
-    """(detail_ref, detail_description, detail_department) of the landed detail documents.
+    """(detail_ref, detail_description, detail_department, detail_order) of the landed details.
 
     A file's path below its company is the item's detail key.
     """
@@ -163,18 +214,25 @@ def read_details(spark: SparkSession, run: str, source: Source) -> DataFrame:
     fields = [c for c in raw.columns if c not in (CORRUPT, "company")]
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     key = F.regexp_extract(decoded, r"/detail/company=[^/]*/(.*)\.json\z", 1)
-    documents = raw.where(F.col(CORRUPT).isNull()).select(
-        "company", key.alias("detail_key"), F.struct(*fields).alias("document")
+    modified = F.unix_micros("_metadata.file_modification_time")
+    documents = raw.select(
+        "company",
+        key.alias("detail_key"),
+        F.struct(*fields).alias("document"),
+        _is_corrupt(fields[0]).alias("corrupt"),
+        modified.alias("detail_order"),
     )
     return _detail_rows(documents, source)
 
 
 def details_from_bodies(bodies: DataFrame, source: Source) -> DataFrame:
-    """The same from (company, detail_key, body) rows; bodies that do not parse are left out."""
+    """The same from (company, detail_key, body) rows, with an ``ordinal`` where copies have
+    an order; bodies that do not parse are left out."""
     schema = f"{source.detail.document}, {CORRUPT} STRING"
     parsed = F.from_json("body", schema, {"columnNameOfCorruptRecord": CORRUPT})
-    documents = bodies.select("company", "detail_key", parsed.alias("document"))
-    return _detail_rows(documents.where(F.col(f"document.{CORRUPT}").isNull()), source)
+    order = F.col("ordinal").cast("bigint") if "ordinal" in bodies.columns else F.lit(0).cast("bigint")
+    documents = bodies.select("company", "detail_key", parsed.alias("document"), order.alias("detail_order"))
+    return _detail_rows(documents.withColumn("corrupt", F.col(f"document.{CORRUPT}").isNotNull()), source)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

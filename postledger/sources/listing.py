@@ -30,7 +30,7 @@ def normalise(items: DataFrame, source: Source, companies: DataFrame) -> DataFra
     )
     has_item = F.col("ordinal").isNotNull()
     kept = source.keep(F.col("item")) if source.keep else F.lit(True)
-    columns["usable"] = has_item & ~F.col("corrupt") & kept
+    columns["usable"] = has_item & kept
     columns["unique_key"] = F.when(has_item, unique_key(F.col("company"), columns["ats_job_id"]))
     order = [part.split()[0] for part in schemas.LISTED.replace("\n", " ").split(",")]
     return joined.select(
@@ -43,14 +43,14 @@ def union_sources(parts: list[DataFrame]) -> DataFrame:
 
 
 def limit_listing(items: DataFrame, limit: int | None) -> DataFrame:
-    """The first ``limit`` items of each company.
+    """The first ``limit`` items of each company.  Rows without an item take no item's place.
 
     Pages that start beyond the limit are filtered first, so what a company sorts is
     bounded by the limit and one page however long its listing is.
     """
     if not limit:
         return items
-    order = Window.partitionBy("company").orderBy("ordinal")
+    order = Window.partitionBy("company").orderBy(F.col("ordinal").asc_nulls_last())
     return (
         items.where(F.col("offset") < limit)
         .withColumn("_row", F.row_number().over(order))

@@ -116,6 +116,10 @@ class Ledger:
     def sync_report(self) -> Table:
         return self._table("sync_report", schemas.RUN_REPORT)
 
+    @property
+    def merged_runs(self) -> Table:
+        return self._table("merged_runs", schemas.MERGED_RUNS)
+
     @property
     def pairs(self) -> Table:
         """Staging: the pairs each scoring run found stale."""

@@ -37,7 +37,7 @@ def posting(number, title="Engineer", place="Germany, Ulm", bullets=None, path=N
         "title": title,
         "externalPath": path,
         "locationsText": place,
-        "postedOn": "Posted Today",
+        "postedOn": "last week",
         "bulletFields": [f"R{number}"] if bullets is None else bullets,
     }
 

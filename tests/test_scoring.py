@@ -13,7 +13,7 @@ from postledger.config import Search, load_companies, load_searches, read_docume
 from postledger.operators.matching import gate_failures, match_searches, stale
 from postledger.operators.ranking import rank_search, rank_searches
 from postledger.operators.reports import search_report
-from postledger.operators.scoring import ask, offline_scorer, upsert_scores
+from postledger.operators.scoring import ANSWER_KEYS, ask, offline_scorer, upsert_scores
 from postledger.plans import rank, rank_all, score, sync_listed
 from postledger.tables import Ledger
 
@@ -143,12 +143,22 @@ def test_offline_scorer_is_deterministic_and_in_range():
 
 
 def test_a_scorer_must_answer_every_prompt(spark):
-    row = [("k", "s", "p", "r", "text")]
-    prompts = spark.createDataFrame(row, schemas.ANSWERS.replace("answer", "prompt"))
+    prompts = spark.createDataFrame([("k", "s", "p", "r", "text")], [*ANSWER_KEYS, "prompt"])
     with pytest.raises(Exception, match="1 prompts but 0 answers"):
         ask(prompts, lambda texts: []).collect()
 
 
+def test_a_refused_prompt_costs_no_other_answer(spark, ledger, tmp_path):
+    refused = Recorder(tmp_path / "one", lambda p: 1 / 0 if "steel\n" in p and ANY.profile in p else reply(70, 70))
+    report = score(ledger, SEARCHES, T1, refused, tasks=2)
+    counts = {r.search_name: r.failed_calls for r in report.collect() if r.failed_calls}
+    assert counts == {ANY.name: 1}
+    kept = ledger.current_scores().count()
+    again = Recorder(tmp_path / "two", lambda p: reply(70, 70))
+    score(ledger, SEARCHES, T2, again)
+    assert len(again.prompts()) == 1 and ledger.current_scores().count() == kept + 1
+
+
 def stored(ledger):
     return {
         (r.unique_key.split("::")[1], r.search_name): r for r in ledger.current_scores().collect()
@@ -269,7 +279,7 @@ def test_ranking_does_not_shuffle_wide_rows(spark, ledger, tmp_path):
 @pytest.mark.parametrize("limit", [1, 2, 5000])
 def test_rank_searches(ranked, limit):
     jobs, scores = ranked
-    out = rank_searches(jobs, scores, 2, limit=limit).collect()
+    out = rank_searches(jobs, scores, ["a", "b"], limit=limit).collect()
     got = {(r.search_name, r["rank"]): r.unique_key.split("::")[1] for r in out}
     best = {("a", 1): "3", ("a", 2): "0", ("a", 3): "1", ("a", 4): "6", ("b", 1): "7"}
     assert got == {k: v for k, v in best.items() if k[1] <= limit}
@@ -282,7 +292,9 @@ def test_rank_of_a_ledger(spark, ledger, tmp_path):
     assert {"title", "description", "last_seen", "fit_score", "score_detail"} <= set(rows.columns)
     assert ids(rows) == ["1", "2", "3"]
     assert ids(rank(ledger, ANY.name, limit=5000)) == ["1", "2", "3", "5"]
-    everything = rank_all(ledger, searches=3, limit=1).collect()
+    # A search that is no longer configured does not rank.
+    assert {r.search_name for r in rank_all(ledger, SEARCHES[:1], limit=5).collect()} == {SEARCHES[0].name}
+    everything = rank_all(ledger, SEARCHES, limit=1).collect()
     assert {(r.search_name, r.unique_key.split("::")[1]) for r in everything} == {
         (LEAD.name, "1"), (ANY.name, "1"), (PERU.name, "3"),
     }

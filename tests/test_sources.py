@@ -38,12 +38,12 @@ def complete(rows):
 
 
 def test_paged_listing_maps_fields(spark, tmp_path):
-    listing(tmp_path, ACME, page([posting(1, "ML Engineer", "Germany, Munich")]))
+    listing(tmp_path, ACME, page([posting(1, "ML Engineer", "Germany, Jena")]))
     (row,) = usable(read(spark, tmp_path, ACME))
     assert row.unique_key == "Acme::R1"
     assert row.url == "https://jobs.example.org/Careers/job/Germany-Munich/ML-Engineer_R1"
     assert (row.title, row.location, row.department, row.raw_description) == (
-        "ML Engineer", "Germany, Munich", "", "",
+        "ML Engineer", "Germany, Jena", "", "",
     )
     assert row.posted_date is None
 
@@ -132,7 +132,7 @@ def test_paged_detail(spark, tmp_path):
 
 def test_board(spark, tmp_path):
     jobs = [
-        {"id": 7028592, "title": "Driver", "absolute_url": "https://b.example/1",
+        {"id": 4711, "title": "Driver", "absolute_url": "https://b.example/1",
          "location": {"name": "Ulm"}, "departments": [{"id": 1, "name": "Road"}, {"id": 2, "name": "Sea"}]},
         {"id": 2, "title": "None", "absolute_url": "u", "location": None, "departments": []},
         {"title": "no id", "departments": None},
@@ -140,10 +140,10 @@ def test_board(spark, tmp_path):
     listing(tmp_path, BOARD, {"jobs": jobs})
     rows = usable(read(spark, tmp_path, BOARD))
     assert [(r.unique_key, r.location, r.department) for r in rows] == [
-        ("Bolt::7028592", "Ulm", "Road"), ("Bolt::2", "", ""), ("Bolt::", "", ""),
+        ("Bolt::4711", "Ulm", "Road"), ("Bolt::2", "", ""), ("Bolt::", "", ""),
     ]
     assert rows[2].detail_ref is None
-    detail(tmp_path, BOARD, "7028592", {"id": 7028592, "content": "<b>x</b>"})
+    detail(tmp_path, BOARD, "4711", {"id": 4711, "content": "<b>x</b>"})
     (found,) = read_details(spark, str(tmp_path), source("greenhouse")).collect()
     assert found.detail_ref == rows[0].detail_ref
     assert (found.detail_description, found.detail_department) == ("<b>x</b>", None)
@@ -248,6 +248,42 @@ def test_a_feed_that_breaks_off_is_incomplete(spark, tmp_path):
     assert {r.unique_key for r in usable(rows)} == {"Whole::1", "Whole::2", "Cut::1", "CutBetween::1"}
 
 
+def test_feeds_with_odd_ends_and_companies_like_numbers(spark, tmp_path):
+    whole = flat_feed({"jobid": "1", "title": "a"}, {"jobid": "2", "title": "b"})
+    head, body = whole[: whole.index("<jobs>")], whole[whole.index("<jobs>") :]
+    texts = {
+        "007": head + "<!--" + " long" * 1000 + "-->" + body,
+        "1e3": whole + " " * 5000,
+        "2026-01-01": head + "<!-- made by <gen> -->" + body,
+        "D": whole + "<!-- a > b -->",
+        "E": whole + "<?done yes?>",
+        "F": whole[: whole.index("</jobs>")],
+        "G": whole[: whole.index("</title></job></jobs>")] if "</title></job></jobs>" in whole else whole[:-20],
+    }
+    companies = [type(FEED)(name, "google") for name in texts]
+    for company in companies:
+        listing(tmp_path, company, texts[company.name])
+    assert complete(read(spark, tmp_path, *companies)) == {name: name < "F" for name in texts}
+    for name in ("007", "1e3", "2026-01-01"):
+        alone = type(FEED)(name, "google")
+        listing(tmp_path / name, alone, texts[name][:-5].rstrip()[:-3])
+        assert complete(read(spark, tmp_path / name, alone)) == {name: False}
+
+
+def test_odd_fields_hide_nothing_else(spark, tmp_path):
+    jobs = [
+        {"id": "s1", "title": "a", "updated_at": 5, "departments": [{"id": "x", "name": "Sea"}]},
+        {"id": 2, "title": "b", "location": "Berlin"},
+        {"id": 3, "title": "c", "location": {"name": "Ulm"}},
+    ]
+    listing(tmp_path, BOARD, {"jobs": jobs})
+    rows = read(spark, tmp_path, BOARD)
+    assert [(r.unique_key, r.location) for r in usable(rows)] == [("Bolt::s1", ""), ("Bolt::2", ""), ("Bolt::3", "Ulm")]
+    assert complete(rows) == {"Bolt": False}  # a place was not what it should be
+    detail(tmp_path, BOARD, "3", {"id": "three", "content": "text"})
+    assert [r.detail_description for r in read_details(spark, str(tmp_path), source("greenhouse")).collect()] == ["text"]
+
+
 def test_order_of_a_long_feed(spark, tmp_path):
     count = 30_000
     listing(tmp_path, FEED, flat_feed(*[{"jobid": str(i), "title": "x" * 50} for i in range(count)]))

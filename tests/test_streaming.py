@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from landed import ACME, listing, page, posting
 from pyspark.sql import functions as F
 
@@ -44,3 +45,17 @@ def test_runs_are_merged_once_and_in_order(spark, tmp_path):
     # A replay of all manifests changes nothing.
     assert run(spark, ledger, tmp_path, "other") == second and ledger.last_sync() == 3
     assert ledger.sync_report.read_until(3).agg(F.count_distinct("run_ts")).first()[0] == 3
+
+
+def test_equal_late_and_broken_manifests(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    land(tmp_path, 1, [1])
+    run(spark, ledger, tmp_path)
+    # A second run of an older or an equal time stamp would turn the state back.
+    land(tmp_path, 0, [2])
+    with pytest.raises(Exception, match="is not later than the last merged run"):
+        run(spark, ledger, tmp_path)
+    assert ledger.last_sync() == 1 and [r.ats_job_id for r in ledger.jobs().collect()] == ["R1"]
+    (tmp_path / "manifests" / "0.json").write_text(json.dumps({"run_ts": DAYS[2].isoformat() + "Z"}) + "\n")
+    with pytest.raises(Exception, match="lacks landed_run"):
+        run(spark, ledger, tmp_path, "third")

@@ -118,9 +118,11 @@ def test_enrich(spark):
         "unique_key string, detail_ref string, raw_description string, department string",
     )
     details = spark.createDataFrame(
-        [("r1", "text", "Sea"), ("r2", "other", None)],
-        "detail_ref string, detail_description string, detail_department string",
+        # Details land again: the last one counts, and makes no second row.
+        [("r1", "old", "Land", 1), ("r1", "text", "Sea", 2), ("r2", "other", None, 1), ("r2", "other", None, 1), ("r9", "x", None, 1)],
+        "detail_ref string, detail_description string, detail_department string, detail_order bigint",
     )
+    assert enrich(rows, details).count() == 4
     out = {r.unique_key: (r.raw_description, r.department, r.enriched) for r in enrich(rows, details).collect()}
     assert out == {
         "a": ("text", "Sea", True),

@@ -156,7 +156,7 @@ SELECT *, CASE search_name WHEN 'All' THEN '2026-01-02' ELSE '2026-01-01' END AS
 
 def rank_run(spark, sf):
     ledger = scored_ledger(spark, sf)
-    return plans.rank_all(ledger, searches=len(SEARCHES)).select(
+    return plans.rank_all(ledger, SEARCHES).select(
         "search_name", "rank", "unique_key", "title", "fit_score", "desirability_score", "is_active"
     )
 
@@ -170,7 +170,25 @@ ranked AS (
 SELECT search_name, rank, unique_key, title, fit_score, desirability_score, true AS is_active
 FROM ranked JOIN listings USING (unique_key) WHERE rank <= 10"""
 
+
+
+def rank_one(spark, sf):
+    """The ranking of one search over a ledger."""
+    best = plans.rank(scored_ledger(spark, sf), ALL.name, limit=25, active_only=True)
+    return best.select("unique_key", "title", "description", "fit_score", "desirability_score", "combined_score")
+
+
+RANK_ONE = f"""
+WITH {_SCORED}
+SELECT unique_key, title, description, fit_score, desirability_score,
+    fit_score + desirability_score AS combined_score
+FROM scored JOIN listings USING (unique_key)
+WHERE search_name = {sql_text(ALL.name)} AND NOT hard_fail AND fit_score >= 60 AND desirability_score >= 60
+ORDER BY combined_score DESC, unique_key LIMIT 25"""
+
+
 QUERIES = {
+    "q_rank_one": (rank_one, RANK_ONE),
     "q_sync_run": (sync_run, SYNC_RUN),
     "q_score_run": (score_run, SCORE_RUN),
     "q_rank_run": (rank_run, RANK_RUN),

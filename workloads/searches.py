@@ -221,6 +221,10 @@ WHERE search_name = 'PROMO' AND NOT hard_fail AND fit_score >= 60 AND desirabili
 ORDER BY combined_score DESC, unique_key LIMIT 10"""
 
 
+# What o_orderpriority holds.
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 def topk_per_search(spark, sf):
     """Orders as listings, their priority as the search; every search at once."""
     orders = table(spark, sf, "orders")
@@ -233,7 +237,7 @@ def topk_per_search(spark, sf):
         (F.col("o_orderstatus") == "P").alias("hard_fail"),
     )
     jobs = orders.select(key.alias("unique_key"), F.col("o_orderdate").cast("date").cast("string").alias("posted_date"))
-    return rank_searches(jobs, scores, searches=5).select(
+    return rank_searches(jobs, scores, PRIORITIES).select(
         "search_name", "rank", "unique_key", "posted_date", "combined_score"
     )
 

@@ -29,10 +29,12 @@ FIRST_DAY, SECOND_DAY = "2026-01-01", "2026-01-02"
 REGIONS = ["1996", "year 1998"]
 
 
-def listed(spark, sf, status):
-    """One snapshot as listed rows.  Title and ordinal follow from the part and line, so
+def listed(spark, sf, status=None):
+    """One snapshot, or both, as listed rows.  Title and ordinal follow from the part and line, so
     that equal ordinals do not make the result ambiguous."""
-    lines = table(spark, sf, "lineitem").where(F.col("l_linestatus") == status)
+    lines = table(spark, sf, "lineitem")
+    if status:
+        lines = lines.where(F.col("l_linestatus") == status)
     return lines.select(
         F.concat_ws("::", "l_returnflag", "l_orderkey").alias("unique_key"),
         F.col("l_returnflag").alias("company"),
@@ -44,9 +46,9 @@ def listed(spark, sf, status):
     )
 
 
-def state(spark, sf):
-    """The first snapshot as stored state; keys without any tax were closed since."""
-    stored = listed(spark, sf, "F").groupBy("unique_key").agg(F.max("l_tax").alias("tax"))
+def state(spark, sf, status="F"):
+    """A snapshot as stored state; keys without any tax were closed since."""
+    stored = listed(spark, sf, status).groupBy("unique_key").agg(F.max("l_tax").alias("tax"))
     return stored.select(
         "unique_key",
         F.split_part("unique_key", F.lit("::"), F.lit(1)).alias("company"),
@@ -83,14 +85,17 @@ current AS (
 
 
 def choose(spark, sf):
-    rows = choose_listed(listed(spark, sf, "O"), in_regions(F.col("location"), REGIONS))
+    rows = choose_listed(listed(spark, sf), in_regions(F.col("location"), REGIONS))
     return rows.select("unique_key", "company", "title", "in_region")
 
 
 CHOOSE = f"""
 WITH {_CTES}
 SELECT DISTINCT unique_key, company, title, c.in_region
-FROM current c JOIN listed l USING (unique_key, company, ordinal) WHERE l_linestatus = 'O'"""
+FROM (SELECT unique_key, company, bool_or(in_region) AS in_region,
+        CASE WHEN bool_or(in_region) THEN max(ordinal) FILTER (WHERE in_region) ELSE min(ordinal) END AS ordinal
+      FROM listed GROUP BY ALL) c
+JOIN listed l USING (unique_key, company, ordinal)"""
 
 
 def merge(spark, sf):
@@ -151,11 +156,12 @@ KNOWN = "SELECT DISTINCT concat(l_returnflag, '::', l_orderkey) AS unique_key FR
 
 
 def counts(spark, sf):
-    return count_rows(state(spark, sf))
+    return count_rows(state(spark, sf, None))
 
 
 COUNTS = f"""WITH {_CTES}
-SELECT count(*) AS total, count(*) FILTER (WHERE is_active) AS active FROM state"""
+SELECT count(*) AS total, count(*) FILTER (WHERE is_active) AS active
+FROM (SELECT unique_key, max(l_tax) > 0.02 AS is_active FROM listed GROUP BY unique_key)"""
 
 
 def run_report(spark, sf):
