@@ -98,25 +98,30 @@ def read_document(path: str | Path) -> dict[str, Any]:
 def load_searches(document: Mapping[str, Any], profiles: Mapping[str, str] | None = None) -> list[Search]:
     """Searches of a document.  ``profiles`` maps ``profile_path`` to text already at hand;
     other paths are read as files."""
-    found = []
-    for entry in document.get("searches") or []:
-        requirements = entry.get("requirements", {})
-        hard, soft = requirements.get("hard", {}), requirements.get("soft", {})
-        path = entry["profile_path"]
-        text = (profiles or {}).get(path)
-        found.append(
-            Search(
-                name=entry["name"],
-                profile=text if text is not None else Path(path).expanduser().read_text(encoding="utf-8"),
-                regions=tuple(entry.get("regions", ())),
-                salary_min=hard.get("salary_min"),
-                title_keywords=tuple(hard.get("title_keywords", ())),
-                prefers_remote=soft.get("prefers_remote", False),
-                preferred_industries=tuple(soft.get("preferred_industries", ())),
-                notify=entry.get("notify", ""),
-            )
-        )
-    return found
+    return [_search(entry, profiles or {}) for entry in document.get("searches") or []]
+
+
+# Where a search's settings stand in its document; what is missing keeps its default.
+_PLACES = {
+    "regions": ("regions",),
+    "notify": ("notify",),
+    "salary_min": ("requirements", "hard", "salary_min"),
+    "title_keywords": ("requirements", "hard", "title_keywords"),
+    "prefers_remote": ("requirements", "soft", "prefers_remote"),
+    "preferred_industries": ("requirements", "soft", "preferred_industries"),
+}
+
+
+def _search(entry: Mapping[str, Any], profiles: Mapping[str, str]) -> Search:
+    path, settings = entry["profile_path"], {}
+    for setting, place in _PLACES.items():
+        value: Any = entry
+        for key in place:
+            value = (value or {}).get(key)
+        if value is not None:
+            settings[setting] = tuple(value) if isinstance(value, list | tuple) else value
+    profile = profiles[path] if path in profiles else Path(path).expanduser().read_text(encoding="utf-8")
+    return Search(name=entry["name"], profile=profile, **settings)
 
 
 def load_companies(document: Mapping[str, Any]) -> tuple[list[Company], list[str]]:
