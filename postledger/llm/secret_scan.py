@@ -208,3 +208,36 @@ def redact(docs: DataFrame, ledger: BlobLedger, rule_set: RuleSet = RuleSet(), t
     )
     return joined.withColumn(text, F.when(F.col("found spans").isNull(), body).otherwise(clean)).select(*columns)
 
+
+
+def report_sql(rules: tuple[Rule, ...] = RuleSet().rules, base: tuple[Rule, ...] = BASE_RULES) -> str:
+    """What the registered query must equal: spans from the gaps between matches."""
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    parts, spans = [], []
+    for k, rule in enumerate(rules):
+        parts.append(f"""regexp_extract_all(text, {quoted(rule.pattern)}) AS m{k},
+            regexp_extract_all(text, {quoted(rule.pattern)}, {rule.group}) AS g{k},
+            string_split_regex(text, {quoted(rule.pattern)}) AS s{k}""")
+        lengths = "list_transform({}, lambda x: length(x))"
+        start = f"(list_sum({lengths.format(f's{k}[1:i]')}) + coalesce(list_sum({lengths.format(f'm{k}[1:i - 1]')}), 0))"
+        spans.append(
+            f"list_transform(list_filter(range(1, len(m{k}) + 1), lambda i: length(g{k}[i]) >= {rule.least}), lambda i: "
+            f"{{'start': CAST({start} AS BIGINT), 'o': {k}, 'text': {quoted(rule.kind + ':')} || CAST({start} AS BIGINT) "
+            f"|| ':' || CAST({start} + length(m{k}[i]) AS BIGINT)}})"
+        )
+    shown = "coalesce(array_to_string(list_transform({}, lambda x: x.text), ','), '')"
+    own = f"list_filter(spans, lambda x: x.o < {len(base)})"
+    counts = ", ".join(
+        f"CAST(len(list_filter(spans, lambda x: x.o = {k})) AS BIGINT) AS n_{rule.kind}" for k, rule in enumerate(base)
+    )
+    return f"""
+    WITH parts AS (
+        SELECT doc_id, {", ".join(parts)} FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+    ), found AS (
+        SELECT doc_id, list_sort({" || ".join(spans)}) AS spans FROM parts
+    )
+    SELECT doc_id, {counts}, sha256({shown.format(own)}) AS base_sha256, {shown.format("spans")} AS spans FROM found
+    """

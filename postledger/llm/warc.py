@@ -367,3 +367,22 @@ def round_trip(pages: DataFrame, archive: Archive) -> DataFrame:
 def open_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """All records of a written archive."""
     return read_records(spark.read.parquet(archive.part("captures")), archive)
+
+
+def round_trip_sql() -> str:
+    """What the registered query must equal.  Five hex digits are four base32 characters."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    five = "CAST('0x' || substr(digest, 5 * (k // 4) + 1, 5) AS BIGINT)"
+    return f"""
+    WITH digests AS (
+        SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages
+    ), firsts AS (
+        SELECT digest, min(page_id) AS first, count(*) > 1 AS several FROM digests GROUP BY digest
+    )
+    SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda k:
+               substr('{alphabet}', CAST(({five} >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+           CASE WHEN several AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN several AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+    FROM digests JOIN firsts USING (digest)
+    """
