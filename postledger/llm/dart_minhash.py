@@ -9,20 +9,22 @@ darts each.  Two texts agree in a coordinate with the probability of their weigh
 Jaccard similarity.
 
 **Classes.**  Texts with the same words are one entry.  Entries that agree in all rows of a
-band share a bucket, and every bucket links its members to its smallest entry: no pairs
-within a group are listed.  Links are checked exactly.  Where the check fails, a member
-may still be near another one of the bucket, so such members are compared with those of
-the bucket which may be near by the triangle inequality and are not yet in the same class.
+band share a bucket, and every bucket links its members to its centre, the member that
+shares buckets most often: no pairs within a group are listed.  Links are checked exactly.
+Where the check fails, a member may still be near another one of the bucket, so such
+members are compared with those of the bucket which may be near by the triangle inequality
+and are not yet in the same class.
 
 Classes are connected components over verified links.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +64,12 @@ class Near:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A well mixed 64-bit function of 64-bit integers."""
     x = x + _STEP
-    x = (x ^ (x >> _U(30))) * _MIX1
-    x = (x ^ (x >> _U(27))) * _MIX2
-    return x ^ (x >> _U(31))
+    x ^= x >> _U(30)
+    x *= _MIX1
+    x ^= x >> _U(27)
+    x *= _MIX2
+    x ^= x >> _U(31)
+    return x
 
 
 class WordHashes(dict):
@@ -84,11 +89,13 @@ def shingles(text: str, words: int, hashes: WordHashes) -> np.ndarray:
         return np.empty(0, _U)
     h = np.fromiter(map(hashes.__getitem__, found), _U, len(found))
     width = min(words, len(h))
-    out = np.zeros(len(h) - width + 1, _U)
+    n = len(h) - width + 1
+    out = h[:n].copy()
     with np.errstate(over="ignore"):
-        for k in range(width):
-            out = mixed(out ^ h[k : len(h) - width + 1 + k])
-    return out
+        for k in range(1, width):
+            out *= _STEP
+            out += h[k : n + k]
+        return mixed(out)
 
 
 def regions(grams: np.ndarray) -> np.ndarray:
@@ -146,21 +153,19 @@ def _throw(areas: np.ndarray, layers: np.ndarray, size: int) -> tuple[np.ndarray
 def signature(areas: np.ndarray, size: int) -> np.ndarray:
     """The earliest dart of every coordinate over the given regions, as 64-bit names.
 
-    The layers that hold about four darts per coordinate are thrown at once, later ones in
+    The layers that hold about eight darts per coordinate are thrown at once, later ones in
     turn.  Layers come in the order of ranks, so a filled coordinate is final.
     """
     names, empty = np.zeros(size, _U), np.ones(size, bool)
-    first, last = 0, max(1, int(np.log2(4 * size / len(areas))) - _FIRST + 1)
+    first, last = 0, max(1, int(np.log2(8 * size / len(areas))) - _FIRST + 1)
     with np.errstate(over="ignore"):
         while empty.any():
             ranks, at, darts = _throw(areas, np.arange(first, last), size)
-            # Written from the latest to the earliest, so that the earliest stays.
-            order = np.lexsort((darts, ranks))[::-1]
-            found, hit = np.zeros(size, _U), np.zeros(size, bool)
-            found[at[order]], hit[at] = darts[order], True
-            hit &= empty
-            names[hit] = found[hit]
-            empty &= ~hit
+            earliest = np.full(size, np.inf)
+            np.minimum.at(earliest, at, ranks)
+            won = np.flatnonzero((ranks == earliest[at]) & empty[at])
+            names[at[won]] = darts[won]
+            empty[at[won]] = False
             first, last = last, last + 1
     return names
 
@@ -173,11 +178,10 @@ def band_keys(names: np.ndarray, near: Near) -> np.ndarray:
     return keys.astype(np.int64)
 
 
-def weighted_jaccard(a: Counter, b: Counter) -> float:
-    if len(b) < len(a):
-        a, b = b, a
-    shared = sum(min(n, b[x]) for x, n in a.items() if x in b)
-    return shared / (a.total() + b.total() - shared) if shared else 0.0
+def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two texts' regions: their multisets of shingles intersected, by their union."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if shared else 0.0
 
 
 def entry_of(text: Column) -> Column:
@@ -187,55 +191,74 @@ def entry_of(text: Column) -> Column:
     return F.unhex(F.sha2(words, 256))
 
 
-def _banded(entries: DataFrame, near: Near) -> DataFrame:
-    """(bucket, id) for every band of every text."""
+def _signed(entries: DataFrame, near: Near) -> DataFrame:
+    """(id, buckets, prints) of every text with words: a bucket per band, and the low byte of
+    every coordinate, eight to a number."""
+    padding = -near.size % 8
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for begin in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(begin, _SLICE)
-                ids, keys = [], []
+                ids, keys, prints = [], [], []
                 for key, text in zip(part["id"].to_pylist(), part["text"].to_pylist()):
                     grams = shingles(text, near.words, hashes)
                     if len(grams):
+                        names = signature(regions(grams), near.size)
                         ids.append(key)
-                        keys.append(band_keys(signature(regions(grams), near.size), near))
+                        keys.append(band_keys(names, near))
+                        prints.append(np.pad(names.astype(np.uint8), (0, padding)).view(np.int64))
+                numbers = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64()),
-                        pa.array(np.repeat(np.array(ids, np.int64), near.bands), pa.int64()),
-                    ],
-                    ["bucket", "id"],
+                    [pa.array(ids, pa.int64()), pa.array(keys, numbers), pa.array(prints, numbers)],
+                    ["id", "buckets", "prints"],
                 )
 
-    return entries.select("id", "text").mapInArrow(bands, "bucket long, id long")
+    return entries.select("id", "text").mapInArrow(sign, "id long, buckets array<long>, prints array<long>")
+
+
+def _differing(near: Near) -> Column:
+    """In how many coordinates the signatures of ``prints`` and ``x_prints`` differ."""
+    low = F.lit(0x0101010101010101)
+
+    def of(k: int) -> Column:
+        x = F.get("prints", F.lit(k)).bitwiseXOR(F.get("x_prints", F.lit(k)))
+        # Each byte's lowest bit becomes the OR of its bits.
+        for step in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        return F.bit_count(x.bitwiseAND(low))
+
+    return reduce(Column.__add__, [of(k) for k in range((near.size + 7) // 8)])
 
 
 def _measured(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
-    """``pairs`` (a, b) with the exact similarity of their texts."""
+    """``pairs`` (a, b) with the size of a, the exact similarity, and what only a has."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        held: tuple[int | None, Counter] = (None, Counter())
+        hashes, held = WordHashes(), (None, None)
         for batch in batches:
             for begin in range(0, batch.num_rows, _SLICE):
-                part, sizes, similar = batch.slice(begin, _SLICE), [], []
+                part, sizes, similar, rests = batch.slice(begin, _SLICE), [], [], []
                 for b, left, right in zip(*(part[c].to_pylist() for c in ("b", "a_text", "b_text"))):
                     if held[0] != b:
-                        held = (b, Counter(shingles(right, near.words, hashes).tolist()))
-                    grams = Counter(shingles(left, near.words, hashes).tolist())
-                    sizes.append(grams.total())
-                    similar.append(weighted_jaccard(grams, held[1]))
+                        held = (b, regions(shingles(right, near.words, hashes)))
+                    own = regions(shingles(left, near.words, hashes))
+                    sizes.append(len(own))
+                    similar.append(weighted_jaccard(own, held[1]))
+                    rests.append(np.setdiff1d(own, held[1], assume_unique=True).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part["a"], part["b"], pa.array(sizes, pa.int64()), pa.array(similar, pa.float64())],
-                    ["a", "b", "a_size", "similarity"],
-                )
+                    [
+                        part["a"], part["b"], pa.array(sizes, pa.int64()), pa.array(similar, pa.float64()),
+                        pa.array(rests, pa.list_(pa.int64())),
+                    ],
+                    ["a", "b", "a_size", "similarity", "rest"],
+                )
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("b_text"))
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", "a_text", "b_text").mapInArrow(measure, "a long, b long, a_size long, similarity double")
+    return joined.select("a", "b", "a_text", "b_text").mapInArrow(measure, "a long, b long, a_size long, similarity double, rest array<long>")
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -301,20 +324,25 @@ def near_classes(docs: DataFrame, near: Near = Near(), folder: str | None = None
     texts = keyed.join(broadcast_within(others), ["doc_id", "entry"], "left_anti")
     texts = texts.select(F.col("doc_id").alias("id"), "text")
 
-    banded = written(_banded(texts, near), f"{folder}/banded")
-    lows = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    lows = lows.filter("low < high").select("bucket", "low")
-    shared = written(banded.join(lows, "bucket").distinct(), f"{folder}/shared")
-    wanted = written(shared.select("id").distinct(), f"{folder}/wanted")
+    signed = written(_signed(texts, near), f"{folder}/signed")
+    banded = signed.select(F.explode("buckets").alias("bucket"), "id").distinct()
+    sizes = banded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n"))
+    shared = written(banded.join(sizes.filter("low < high"), "bucket"), f"{folder}/shared")
+    # The original of many copies shares more buckets than any two copies do with each other.
+    wanted = written(shared.groupBy("id").agg(F.sum("n").alias("met")), f"{folder}/wanted")
+    most = F.min(F.struct((-F.col("met")).alias("less"), "id")).alias("most")
+    centres = shared.join(wanted, "id").groupBy("bucket").agg(most).select("bucket", F.col("most.id").alias("centre"))
+    shared = written(shared.select("bucket", "id").join(centres, "bucket"), f"{folder}/centred")
+    wanted = wanted.select("id")
     texts = texts.join(broadcast_within(wanted), "id", "left_semi").dropDuplicates(["id"])
     texts = written(texts, f"{folder}/texts")
 
-    pairs = shared.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = shared.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     stars = written(_measured(pairs, texts, near), f"{folder}/stars")
     links = stars.filter(F.col("similarity") >= near.similarity).select("a", "b")
     classes = components(links, f"{folder}/classes")
 
-    rest = written(_unsettled(shared, stars, classes, near), f"{folder}/rest")
+    rest = written(_unsettled(shared, stars, classes, signed, near), f"{folder}/rest")
     if not rest.isEmpty():
         more = _measured(rest, texts, near).filter(F.col("similarity") >= near.similarity).select("a", "b")
         classes = components(links.union(written(more, f"{folder}/more")), f"{folder}/all-classes")
@@ -325,34 +353,46 @@ def near_classes(docs: DataFrame, near: Near = Near(), folder: str | None = None
     return versions.join(named, "entry").select("doc_id", "class_id", "class_size")
 
 
-def _unsettled(shared: DataFrame, stars: DataFrame, classes: DataFrame, near: Near) -> DataFrame:
+def _unsettled(shared: DataFrame, stars: DataFrame, classes: DataFrame, signed: DataFrame, near: Near) -> DataFrame:
     """Pairs (a, b) of a bucket that may be near, though they are in different classes so far.
 
-    The distance 1 - similarity obeys the triangle inequality: what differs from the
-    bucket's smallest member by more than the allowed distance from another's difference
-    cannot be near that one.  Sizes bound the similarity as well.
+    One of the two is then in another class than the bucket's centre.  By the triangle
+    inequality, distances to the centre that differ by more than the limit rule a pair out,
+    and so do sizes.  What two members share is either shared with the centre too, or is
+    among what both have beyond the centre: where the first is too little and the second
+    nothing, they are not near.  All this is exact.  What is left must agree in as many
+    coordinates as near texts do but for four standard deviations; that misses a pair at
+    the very limit about as rarely as the bands do.
     """
     own = classes.select("id", F.col("class").alias("own"))
-    low = classes.select(F.col("id").alias("low"), F.col("class").alias("of_low"))
+    centre = classes.select(F.col("id").alias("centre"), F.col("class").alias("of_centre"))
+    stars = stars.withColumnsRenamed({"a": "id", "b": "centre"})
     members = (
-        shared.filter("id <> low")
-        .join(stars.select(F.col("a").alias("id"), F.col("b").alias("low"), "a_size", "similarity"), ["id", "low"])
+        shared.filter("id <> centre")
         .join(own, "id", "left")
-        .join(low, "low", "left")
-        .select(
-            "bucket", "id", "a_size", "similarity",
-            F.coalesce("own", "id").alias("own"), F.coalesce("of_low", "low").alias("of_low"),
-        )
+        .join(centre, "centre", "left")
+        .select("bucket", "id", "centre", F.coalesce("own", "id").alias("own"), F.coalesce("of_centre", "centre").alias("of_centre"))
     )
-    outside = members.filter("own <> of_low").select(
-        "bucket", *[F.col(c).alias(f"x_{c}") for c in ("id", "a_size", "similarity", "own")]
+    open_buckets = members.filter("own <> of_centre").select("bucket").distinct()
+    members = (
+        members.join(open_buckets, "bucket", "left_semi")
+        .join(stars, ["id", "centre"])
+        .join(signed.select("id", "prints").dropDuplicates(["id"]), "id")
     )
-    far = 1.0 - near.similarity + 1e-9
+    told = ("id", "a_size", "similarity", "own", "rest", "prints")
+    outside = members.filter("own <> of_centre").select("bucket", *[F.col(c).alias(f"x_{c}") for c in told])
+    limit, far = near.similarity, 1.0 - near.similarity + 1e-9
+    spread = math.sqrt(near.size * limit * (1.0 - limit))
+    most = math.ceil(near.size * (1.0 - limit) + 4.0 * spread)
+    needed = limit / (1.0 + limit) * (F.col("x_a_size") + F.col("a_size")) - 1e-6
+    with_centre = F.least(F.col("x_a_size") - F.size("x_rest"), F.col("a_size") - F.size("rest"))
     return (
         outside.join(members, "bucket")
         .filter("x_own <> own")
         .filter(F.abs(F.col("x_similarity") - F.col("similarity")) <= far)
-        .filter(F.least("x_a_size", "a_size") >= near.similarity * F.greatest("x_a_size", "a_size"))
+        .filter(F.least("x_a_size", "a_size") >= limit * F.greatest("x_a_size", "a_size"))
+        .filter(_differing(near) <= most)
+        .filter((with_centre >= needed) | F.arrays_overlap("x_rest", "rest"))
         .select(F.greatest("x_id", "id").alias("a"), F.least("x_id", "id").alias("b"))
         .distinct()
     )
