@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ MEMO_WORDS = 200_000
 MEMO_CHARS = 64
 # Above this many characters words are taken one by one instead of as a list.
 LIST_CHARS = 1 << 20
+# Texts that are Python objects at a time.
+SLICE = 200
 
 _NEVER = 1 << 60
 
@@ -320,12 +323,38 @@ def decode(frame: DataFrame, path: str, packed: str = "packed_ids", to: str = "d
     return frame.withColumn(to, decoded(F.coalesce(F.col(packed), F.lit(b""))))
 
 
-def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def coded(docs: DataFrame, path: str, carried: list[str], text: str = "text") -> DataFrame:
+    """``carried`` columns of ``docs`` with ``packed_ids`` of every text and what they decode to.
+
+    Encoding and decoding in one step, some rows at a time, so that a task never holds more
+    than a few texts as Python objects.  Nulls, repeated rows and empty tables as in
+    :func:`encode`; other columns are not read.
+    """
+    content = shared_vocabulary(docs.sparkSession, path)
+    rows = docs.select(*carried, text_of(text).alias("text to encode"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text to encode").schema)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(content)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE):
+                part = batch.slice(begin, SLICE)
+                packed = [codec.encode(t) for t in part["text to encode"].to_pylist()]
+                decoded = [codec.decode(p) for p in packed]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part[c] for c in carried), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())],
+                    [*carried, "packed_ids", "decoded"],
+                )
+
+    return rows.mapInArrow(code, f"{fields}, packed_ids binary, decoded string")
+
+
+def round_trip(docs: DataFrame, path: str, carried: list[str], text: str = "text") -> DataFrame:
     """Encodes and decodes every text: counts and digests of the ids and of the decoded text."""
-    ids = encode(docs.select(key, text), path, text).select(key, "packed_ids")
-    return decode(ids, path).select(
-        key,
+    return coded(docs, path, carried, text).select(
+        *carried,
         F.expr("octet_length(packed_ids) div 4").alias("n_tokens"),
+        "packed_ids",
         F.sha2("packed_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )

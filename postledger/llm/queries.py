@@ -50,7 +50,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, tokenizer_file("word_bpe_49k.json"), ["doc_id"]).drop("packed_ids")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +95,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
-    "op2_warc": (op2_warc, None),
-    "op3_secret_scan": (op3_secret_scan, None),
+    "op2_warc": (op2_warc, warc.round_trip_sql()),
+    "op3_secret_scan": (op3_secret_scan, secret_scan.report_sql()),
     "op4_bpe": (op4_bpe, None),
     "op5_quality": (op5_quality, None),
     "op6_multi_index": (op6_multi_index, None),
