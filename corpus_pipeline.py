@@ -53,17 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, packed, with their digest and that of the decoded text."""
-    path = tokenizer_file("word_bpe_49k.json")
-    packed = bpe.encode(docs, path).select("doc_id", "lang", "source", "packed_ids")
-    return bpe.decode(packed, path).select(
-        "doc_id",
-        "lang",
-        "source",
-        F.expr("octet_length(packed_ids) div 4").alias("n_tokens"),
-        "packed_ids",
-        F.sha2("packed_ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe.round_trip(docs, tokenizer_file("word_bpe_49k.json"), ["doc_id", "lang", "source"])
 
 
 STAGES = [
