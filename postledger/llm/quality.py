@@ -1,11 +1,17 @@
 """Quality rules: surface counts, then a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed n-grams are counted: one over trusted documents, one over the
-whole raw corpus.  A document's verdict is the mean log ratio of its n-grams, so that long
-and short documents compare, against a fixed threshold: the same document always gets the
-same verdict for the same tables.
-
-Everything is DataFrame code.  Counting is one pass that explodes n-grams into a hash
+Multinomials over hashed n-grams are counted: of the trusted documents, of those labelled
+bad, and of the whole raw corpus, each distinct text once however many copies it has.  A
+document's verdict is the mean log ratio of its n-grams, so that long and short documents
+compare, against a fixed threshold: the same document always gets the same verdict for the
+same tables.
+
+Where labels call some documents bad, no n-gram is expected more often than labelled
+documents have it: one they say nothing on, as of a language or source without labels, has
+a ratio near 0.  Where nothing is labelled bad, the raw corpus is all there is to compare with.
+
+Everything is DataFrame code.  Copies are found by digests and ids only; the rows passed
+over are named, not those that count.  Counting is one pass that explodes n-grams into a hash
 aggregation of ``buckets`` groups, combined before the shuffle; so one source holding a
 third of all rows changes nothing.  Scoring is a projection without any shuffle: the log
 ratios, ``buckets`` doubles, are a scalar subquery.
@@ -20,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postledger.llm.shared import text_of, workspace, written
+from postledger.operators.bounds import broadcast_within
 
 # Words, white space, symbols and limits of the surface rules.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,9 +42,9 @@ TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 @dataclass(frozen=True)
 class Rules:
     """``buckets``: of hashed n-grams.  ``smoothing``: added to how often the target has a bucket
-    and to how often it would by the raw shares, so that rare buckets say little.  ``threshold``: least mean log ratio of a kept document.
-    ``max_trusted``: how many labelled documents the target multinomial is counted on, those
-    of least hashed id."""
+    and to how often it would by the other shares, so that rare buckets say little.  ``threshold``: least mean log ratio of a kept document.
+    ``max_trusted``: how many documents labelled good the target multinomial is counted on, and
+    how many labelled bad theirs, those of least hashed id."""
 
     buckets: int = 1 << 15
     smoothing: float = 5.0
@@ -135,10 +142,46 @@ def ngram_buckets(text: Column, buckets: int) -> Column:
     return let(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), hashed)
 
 
-def trusted(labels: DataFrame, rules: Rules) -> DataFrame:
-    """Ids of the documents labelled good, at most ``rules.max_trusted``, always the same ones."""
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.max_trusted)
+def trusted(labels: DataFrame, rules: Rules, quality: int = 1) -> DataFrame:
+    """Ids of the documents labelled good, or those of another label, at most
+    ``rules.max_trusted``, always the same ones."""
+    chosen = labels.filter((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.max_trusted)
+
+
+def distinct_texts(docs: DataFrame, labels: DataFrame, rules: Rules, folder: str) -> DataFrame:
+    """(text, is_trusted, is_bad) of every distinct text of ``docs``, once; a mark is null or 1.
+
+    A text has the marks of all its copies.
+    """
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    keys = written(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("n")), f"{folder}/keys")
+    good = F.broadcast(trusted(labels, rules).withColumn("is_trusted", F.lit(1)))
+    bad = F.broadcast(trusted(labels, rules, 0).withColumn("is_bad", F.lit(1)))
+    texts = (
+        keys.join(good, "doc_id", "left")
+        .join(bad, "doc_id", "left")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("least_id"), F.max("is_trusted").alias("is_trusted"), F.max("is_bad").alias("is_bad"))
+    )
+    texts = written(texts, f"{folder}/texts")
+    marks = texts.filter("is_trusted = 1 or is_bad = 1").select("digest", "is_trusted", "is_bad")
+
+    def at(named: DataFrame) -> tuple[DataFrame, Column]:
+        named = named.select(F.col("doc_id").alias("other_id"), F.col("digest").alias("other_digest"))
+        return named, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("digest") == F.col("other_digest"))
+
+    counted, same = at(texts.withColumnRenamed("least_id", "doc_id"))
+    copies = written(keys.join(counted, same, "left_anti").select("doc_id", "digest"), f"{folder}/copies")
+    copies, same = at(copies)
+    once = rows.join(broadcast_within(copies), same, "left_anti")
+    repeated = written(keys.filter("n > 1").select("doc_id", "digest"), f"{folder}/repeated")
+    if not repeated.isEmpty():
+        repeated, same = at(repeated)
+        repeated = broadcast_within(repeated)
+        twice = once.join(repeated, same, "left_semi").dropDuplicates(["digest"])
+        once = once.join(repeated, same, "left_anti").unionByName(twice)
+    return once.join(F.broadcast(marks), "digest", "left").select("text", "is_trusted", "is_bad")
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, rules: Rules, folder: str) -> DataFrame:
@@ -146,17 +189,19 @@ def log_ratios(docs: DataFrame, labels: DataFrame, rules: Rules, folder: str) ->
 
     Without trusted documents all ratios are 0 and only the surface rules decide.
     """
-    chosen = F.broadcast(trusted(labels, rules).withColumn("is_trusted", F.lit(1)))
-    grams = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id", "left")
+    grams = distinct_texts(docs, labels, rules, folder)
     counts = (
-        grams.select("is_trusted", F.explode(ngram_buckets(F.col("text"), rules.buckets)).alias("bucket"))
+        grams.select("is_trusted", "is_bad", F.explode(ngram_buckets(F.col("text"), rules.buckets)).alias("bucket"))
         .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("is_trusted").alias("target"))
+        .agg(F.count("*").alias("raw"), F.count("is_trusted").alias("target"), F.count("is_bad").alias("bad"))
     )
     all_buckets = docs.sparkSession.range(rules.buckets).select(F.col("id").cast("int").alias("bucket"))
-    counts = written(all_buckets.join(counts, "bucket", "left").fillna(0, ["raw", "target"]), f"{folder}/ngrams")
-    sums = counts.agg(F.struct(F.sum("raw").alias("raw"), F.sum("target").alias("target"))).scalar()
-    share = (F.col("raw") + 1) / (sums["raw"] + rules.buckets)
+    counts = all_buckets.join(counts, "bucket", "left").fillna(0, ["raw", "target", "bad"])
+    counts = written(counts, f"{folder}/ngrams")
+    sums = counts.agg(F.struct(*[F.sum(c).alias(c) for c in ("raw", "target", "bad")])).scalar()
+    raw = (F.col("raw") + 1) / (sums["raw"] + rules.buckets)
+    known = (F.col("target") + F.col("bad") + 1) / (sums["target"] + sums["bad"] + rules.buckets)
+    share = F.when(sums["bad"] > 0, F.least(raw, known)).otherwise(raw)
     ratio = (F.col("target") + rules.smoothing) / (sums["target"] * share + rules.smoothing)
     return counts.select("bucket", F.log(ratio).alias("ratio")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("bucket", "ratio"))), lambda r: r["ratio"]).alias("ratios")
@@ -178,8 +223,8 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), folder: st
 
     Needs ``doc_id`` and ``text``; columns of these names are replaced, others pass
     through.  A null text counts as empty and fails the surface rules.  Repeated rows and
-    rows without an id are judged each by itself and count in the raw corpus as often as
-    they occur; an empty table gives an empty result.
+    rows without an id are judged each by itself; a text counts once in the corpus however
+    many rows have it.  An empty table gives an empty result.
     """
     folder = folder or workspace(docs.sparkSession, "quality")
     ratios = log_ratios(docs, labels, rules, folder).scalar()

@@ -177,6 +177,32 @@ def test_quality(spark, docs, none):
     assert quality.judge(frame, labels.limit(0)).filter("kept").count() == len(kept) + 10  # without a target, surface rules only
 
 
+def test_quality_of_copies_and_of_what_has_no_labels(spark):
+    draw = random.Random(3)
+    vocabulary = [a + b for a in "ab cd ef gh ij kl".split() for b in "mn op qr st uv wx".split()]
+    prose = [" ".join(draw.choice(vocabulary) for _ in range(200)) for _ in range(60)]
+    foreign = [" ".join(draw.choice(vocabulary)[::-1] + "o" for _ in range(200)) for _ in range(60)]
+    junk = [" ".join(w + "&&&" for w in p.split()) for p in prose[:20]]
+    copies = [(1000 + n, prose[-1]) for n in range(100)]  # not labelled, with those without an id over a third of all rows
+    copies += [copies[0]] * 5 + [(None, prose[-1])] * 5
+    labels = [(n, 1) for n in range(20)] + [(n, 0) for n in range(200, 205)]
+    rows = [*enumerate(prose)] + [(200 + n, t) for n, t in enumerate(junk)] + copies
+
+    def kept(rows, labels):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        judged = quality.judge(frame, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+        assert Counter(r.doc_id for r in judged) == Counter(i for i, _ in rows)
+        return {r.text: r.log_ratio for r in judged}, Counter(r.doc_id for r in judged if r.kept)
+
+    clean = Counter(i for i, t in rows if t not in junk)
+    assert kept(rows, labels)[1] == clean
+    assert kept(rows, labels[:20])[1] == clean  # also where nothing is labelled bad
+    assert kept(rows, labels)[0] == kept(rows[:80], labels)[0]  # copies change no verdict
+    # A language without labels, more than a third of all rows.
+    mixed = rows[:80] + [(300 + n, t) for n, t in enumerate(foreign)]
+    assert kept(mixed, labels)[1] == Counter(i for i, t in mixed if t not in junk)
+
+
 def test_nearest(spark):
     draw = np.random.default_rng(1)
     points = draw.normal(size=(600, 8)).astype("float32")
