@@ -46,9 +46,25 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]{14,}"),
     Rule("hex", r"[0-9a-f]{16,}"),
 )
+# A line of a key body with its break, real or escaped, and indentation; long runs may be parted
+# by spaces.  What a line is depends on the text alone and repeats are bounded, so that failed
+# tries stay linear and matchers that recurse stay shallow.
+_BREAK = r"[ \t]*[\r\n\\][ \t\r\n\\>]*"
+_LINE = rf"(?:[A-Za-z0-9+/=]{{16}}[A-Za-z0-9+/=]*[ \t\r\n\\>]+|[A-Za-z0-9+/=]{{1,15}}{_BREAK})"
+_HEADER = rf"[nr\\]*(?:Proc-Type|DEK-Info):[^\r\n\\]*{_BREAK}"
+_LAST = r"(?:[A-Za-z0-9+/]{16,}=*|[A-Za-z0-9+/]+(?:=+|\z))"
+# A key with its body: through the END line, if no other such mark comes before it, or else all
+# base64 lines.  After 180 of these, base64 and white space to whatever else comes first.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,100}-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|[ \t\r\n\\>]*(?:{_HEADER}){{0,4}}"
+    rf"(?:{_LINE}{{60}}{_LINE}{{60}}{_LINE}{{60}}[A-Za-z0-9+/= \t\r\n\\>]*|{_LINE}{{0,60}}{_LINE}{{0,60}}{_LINE}{{0,60}}{_LAST}?))"
+)
+
 # What else is found, by the published forms of these keys.
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("hub_token", r"\bgh[opusr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"\bxox[abprs]-[0-9A-Za-z-]{20,}"),
     Rule("web_token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -61,7 +77,9 @@ SPAN = T.ArrayType(
 
 @dataclass(frozen=True)
 class RuleSet:
-    version: str = "1"
+    """``version`` changes with the rules: ledgers hold what each version found."""
+
+    version: str = "1+key-bodies"
     rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES
 
 
