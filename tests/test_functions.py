@@ -171,7 +171,7 @@ def test_answers(spark):
 
 def test_json_slice(spark):
     out = evaluate(spark, [a for a, _ in ANSWERS], fn.json_slice)
-    assert out[1] == '{"fit_score": 75}'
+    assert out[1] == '{"fit_score": 31}'
     assert [o is not None for o in out] == [expected[-1] for _, expected in ANSWERS]
 
 

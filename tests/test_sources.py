@@ -41,7 +41,7 @@ def test_paged_listing_maps_fields(spark, tmp_path):
     listing(tmp_path, ACME, page([posting(1, "ML Engineer", "Germany, Jena")]))
     (row,) = usable(read(spark, tmp_path, ACME))
     assert row.unique_key == "Acme::R1"
-    assert row.url == "https://jobs.example.org/Careers/job/Germany-Munich/ML-Engineer_R1"
+    assert row.url == "https://jobs.example.org/Careers/job/Germany-Jena/ML-Engineer_R1"
     assert (row.title, row.location, row.department, row.raw_description) == (
         "ML Engineer", "Germany, Jena", "", "",
     )
