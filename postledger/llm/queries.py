@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postledger.llm import bpe, chat, dart_minhash, language, mixing, multi_index, quality, secret_scan, token_counts, warc
+from postledger.llm import (
+    bpe,
+    chat,
+    dart_minhash,
+    exact_dedup,
+    fim,
+    language,
+    mixing,
+    multi_index,
+    quality,
+    secret_scan,
+    token_counts,
+    warc,
+)
 from postledger.llm.shared import text_of, workspace
 
 
@@ -93,6 +106,25 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, docs.select("text", "lang"), ["doc_id", "page_id"])
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.mark(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = fim.restore(fim.transform(docs))
+    return made.select(
+        "doc_id",
+        F.col("n_lines").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("fim_text", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_warc": (op2_warc, warc.round_trip_sql()),
@@ -104,4 +136,6 @@ QUERIES = {
     "op8_chat": (op8_chat, chat.digest_sql()),
     "op9_dart_minhash": (op9_dart_minhash, None),
     "op10_language": (op10_language, None),
+    "op12_exact_dedup": (op12_exact_dedup, exact_dedup.dedup_sql()),
+    "op13_fim": (op13_fim, fim.FIM_SQL),
 }
