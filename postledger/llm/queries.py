@@ -14,6 +14,7 @@ from postledger.llm import (
     dart_minhash,
     exact_dedup,
     fim,
+    hard_negatives,
     language,
     mixing,
     multi_index,
@@ -106,6 +107,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, docs.select("text", "lang"), ["doc_id", "page_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    relabel = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).cast("int")
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0, relabel)
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.mark(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -136,6 +143,7 @@ QUERIES = {
     "op8_chat": (op8_chat, chat.digest_sql()),
     "op9_dart_minhash": (op9_dart_minhash, None),
     "op10_language": (op10_language, None),
+    "op11_hard_negatives": (op11_hard_negatives, hard_negatives.mining_sql()),
     "op12_exact_dedup": (op12_exact_dedup, exact_dedup.dedup_sql()),
     "op13_fim": (op13_fim, fim.FIM_SQL),
 }
