@@ -49,7 +49,7 @@ class Fim:
 
     rate: int = 100
     spm: int = 50
-    batch_bytes: int = 64 << 20
+    batch_bytes: int = 4 << 20
 
 
 def draws(doc_id) -> tuple[int, int, int, int]:
@@ -81,8 +81,9 @@ def _end_of(k: np.ndarray, starts, ends, newlines, first, count_nl) -> np.ndarra
 
 def _chars(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Code points in each byte range: bytes that are no continuation byte."""
-    lead = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-    return lead[hi] - lead[lo]
+    lead = np.zeros(buf.size + 1, dtype=np.int32 if buf.size < (1 << 30) else np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=lead[1:])
+    return (lead[hi] - lead[lo]).astype(np.int64)
 
 
 def _scatter(texts: list[str], ids: list, config: Fim) -> dict[str, list]:
@@ -113,15 +114,9 @@ def _scatter(texts: list[str], ids: list, config: Fim) -> dict[str, list]:
     at_middle = np.where(fim, 3 * WIDTH + p_len + s_len, p_len)
     base = out_start - starts
     shift_p, shift_m, shift_s = base + at_prefix, base + at_middle - p_len, base + at_suffix - p_len - m_len
-    diff = np.zeros(buf.size + 1, dtype=np.int64)
-    np.add.at(diff, starts, shift_p)
-    np.add.at(diff, c1, shift_m - shift_p)
-    np.add.at(diff, c2, shift_s - shift_m)
-    np.add.at(diff, ends, -shift_s)
-    shift = np.cumsum(diff)[:-1]
-
+    target = _positions(buf.size, ((starts, shift_p), (c1, shift_m - shift_p), (c2, shift_s - shift_m), (ends, -shift_s)))
     out = np.zeros(int(out_len.sum()), dtype=np.uint8)
-    out[np.arange(buf.size, dtype=np.int64) + shift] = buf
+    out[target] = buf
     for mark, where in ((PREFIX, at_prefix - WIDTH), (SUFFIX, at_suffix - WIDTH), (MIDDLE, at_middle - WIDTH)):
         rows = np.flatnonzero(fim)
         for k, byte in enumerate(mark.encode()):
@@ -173,19 +168,26 @@ def _restore(outputs: list[str], forms: list[str]) -> list[str]:
     c1, c2, ends = starts + p_len, starts + p_len + m_len, starts + lengths
     base = out_start - starts
     take_p, take_m, take_s = base + at_p, base + at_m - p_len, base + at_s - p_len - m_len
-    diff = np.zeros(int(lengths.sum()) + 1, dtype=np.int64)
-    np.add.at(diff, starts, take_p)
-    np.add.at(diff, c1, take_m - take_p)
-    np.add.at(diff, c2, take_s - take_m)
-    np.add.at(diff, ends, -take_s)
-    shift = np.cumsum(diff)[:-1]
-    text = buf[np.arange(shift.size, dtype=np.int64) + shift].tobytes()
+    source = _positions(int(lengths.sum()), ((starts, take_p), (c1, take_m - take_p), (c2, take_s - take_m), (ends, -take_s)))
+    text = buf[source].tobytes()
     return [text[s : s + n].decode("utf-8") for s, n in zip(starts.tolist(), lengths.tolist())]
 
 
-def _batches(frame: pd.DataFrame, limit: int) -> Iterator[pd.DataFrame]:
-    """Row slices of at most ``limit`` bytes of text (a longer text alone)."""
-    sizes = frame["__text"].str.len().fillna(0).to_numpy()
+def _positions(size: int, steps) -> np.ndarray:
+    """Index plus shift of every byte, the shifts given as changes at offsets: a difference
+    array and its running sum.  Offsets of a batch fit 32 bits (batches are a few MB)."""
+    kind = np.int32 if size < (1 << 30) else np.int64
+    diff = np.zeros(size + 1, dtype=kind)
+    for at, change in steps:
+        np.add.at(diff, at, change.astype(kind))
+    shift = np.cumsum(diff[:-1], dtype=kind)
+    shift += np.arange(size, dtype=kind)
+    return shift
+
+
+def _batches(frame: pd.DataFrame, limit: int, column: str = "__text") -> Iterator[pd.DataFrame]:
+    """Row slices of at most ``limit`` characters of text (a longer text alone)."""
+    sizes = frame[column].str.len().fillna(0).to_numpy()
     start, total = 0, 0
     for k, size in enumerate(sizes):
         if k > start and total + size > limit:
@@ -226,7 +228,9 @@ def transform(docs: DataFrame, config: Fim = Fim(), id_col: str = "doc_id", text
     return frame.mapInPandas(run, schema)
 
 
-def restore(frame: DataFrame, output_col: str = "fim_text", form_col: str = "form", as_col: str = "restored") -> DataFrame:
+def restore(
+    frame: DataFrame, output_col: str = "fim_text", form_col: str = "form", as_col: str = "restored", config: Fim = Fim()
+) -> DataFrame:
     """``frame`` with ``as_col``: the text rebuilt from the output and the form alone."""
     schema = StructType(frame.schema.fields + [StructField(as_col, StringType())])
     if as_col in frame.columns:
@@ -235,10 +239,12 @@ def restore(frame: DataFrame, output_col: str = "fim_text", form_col: str = "for
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            outputs = part[output_col].fillna("").tolist()
-            forms = part[form_col].fillna(FORMS[0]).tolist()
-            part[as_col] = _restore(outputs, forms) if len(part) else []
-            yield part
+            for piece in _batches(part.reset_index(drop=True), config.batch_bytes, output_col):
+                piece = piece.reset_index(drop=True)
+                outputs = piece[output_col].fillna("").tolist()
+                forms = piece[form_col].fillna(FORMS[0]).tolist()
+                piece[as_col] = _restore(outputs, forms) if len(piece) else []
+                yield piece
 
     return frame.mapInPandas(run, schema)
 
