@@ -31,6 +31,7 @@ or no valid row gives an empty result.  Extra input columns are not carried.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,20 +50,22 @@ LOWEST, HIGHEST = -(1 << 62), 1 << 62
 @dataclass(frozen=True)
 class Mining:
     """``positives`` and ``negatives``: rows kept per anchor and per positive; the window is
-    ``low`` to ``high`` percent of the positive's score.  ``centroids`` per half, fitted on
-    at most ``sample`` rows; ``block``: entries scored at once; ``anchors``: anchors a part
+    ``low`` to ``high`` percent of the positive's score.  Centroids per half: about the
+    square root of rows / ``cell_rows``, at most ``centroids``, fitted on at most ``sample``
+    rows, so that codebooks grow with the data; ``block``: entries scored at once; ``anchors``: anchors a part
     of a cell takes; ``first_entries``: entries the first round visits."""
 
     positives: int = 5
     negatives: int = 3
     low: int = 50
     high: int = 95
-    centroids: int = 32
+    centroids: int = 64
+    cell_rows: int = 2048
     sample: int = 20_000
     iterations: int = 12
     block: int = 4096
     anchors: int = 1024
-    first_entries: int = 4096
+    first_entries: int = 16384
 
 
 def prepared(rows: DataFrame, relabel: Column | None = None) -> DataFrame:
@@ -118,16 +121,21 @@ class Codebook:
         """Non-empty cells (i, j, upper, lower), falling upper bound first (multi-sequence heap)."""
         up1, low1, up2, low2 = self.bounds(q)
         first, second = np.argsort(-up1, kind="stable"), np.argsort(-up2, kind="stable")
-        heap, seen = [(-(up1[first[0]] + up2[second[0]]), 0, 0)], {(0, 0)}
+        top1, top2 = up1[first].tolist(), up2[second].tolist()
+        first, second, low1, low2 = first.tolist(), second.tolist(), low1.tolist(), low2.tolist()
+        counts = self.counts.tolist()
+        # (a, b + 1) follows every pair, (a + 1, b) only those of the first column: each
+        # pair enters the heap once, after a pair that bounds it.
+        heap = [(-(top1[0] + top2[0]), 0, 0)]
         while heap:
             bound, a, b = heapq.heappop(heap)
-            i, j = int(first[a]), int(second[b])
-            if self.counts[i, j]:
+            i, j = first[a], second[b]
+            if counts[i][j]:
                 yield i, j, -bound, low1[i] + low2[j]
-            for na, nb in ((a + 1, b), (a, b + 1)):
-                if na < len(first) and nb < len(second) and (na, nb) not in seen:
-                    seen.add((na, nb))
-                    heapq.heappush(heap, (-(up1[first[na]] + up2[second[nb]]), na, nb))
+            if b + 1 < len(top2):
+                heapq.heappush(heap, (-(top1[a] + top2[b + 1]), a, b + 1))
+            if b == 0 and a + 1 < len(top1):
+                heapq.heappush(heap, (-(top1[a + 1] + top2[0]), a + 1, 0))
 
 
 def _kmeans(points: np.ndarray, k: int, iterations: int) -> np.ndarray:
@@ -151,12 +159,13 @@ def _kmeans(points: np.ndarray, k: int, iterations: int) -> np.ndarray:
     return c
 
 
-def fit(valid: DataFrame, width: int, config: Mining) -> tuple[np.ndarray, np.ndarray]:
-    """Codebooks of both halves from at most ``sample`` rows, chosen by a hash of the id."""
+def fit(valid: DataFrame, width: int, k: int, config: Mining) -> tuple[np.ndarray, np.ndarray]:
+    """Codebooks of ``k`` centroids for both halves from at most ``sample`` rows, chosen by a
+    hash of the id."""
     sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(config.sample).select("q").toPandas()
     points = np.array(sample["q"].tolist(), dtype=float).reshape(len(sample), width)
     cut = width // 2
-    return _kmeans(points[:, :cut], config.centroids, config.iterations), _kmeans(points[:, cut:], config.centroids, config.iterations)
+    return _kmeans(points[:, :cut], k, config.iterations), _kmeans(points[:, cut:], k, config.iterations)
 
 
 def _as_matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -176,36 +185,61 @@ def entries(valid: DataFrame, halves, width: int) -> DataFrame:
     return valid.mapInPandas(assign, "vec_id long, label int, q array<long>, c1 int, c2 int, r1 double, r2 double")
 
 
-def _top(found: DataFrame) -> DataFrame:
-    """Per anchor and window, its best k rows (k carried as a column)."""
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """Per anchor and window, its best k rows."""
     order = F.row_number().over(Window.partitionBy("anchor_id", "w").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("__r", order).filter(F.col("__r") <= F.col("k")).drop("__r")
+    return found.withColumn("__r", order).filter(F.col("__r") <= k).drop("__r")
+
+
+def _best(s: np.ndarray, ok: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of ``s``, the first ``k`` allowed columns by score, then smaller id: their
+    (row, column) pairs.  Ties at the k-th score are all sorted, none dropped unseen."""
+    low = np.iinfo(np.int64).min
+    masked = np.where(ok, s, low)
+    if masked.shape[1] > k:
+        kth = np.partition(masked, masked.shape[1] - k, axis=1)[:, masked.shape[1] - k]
+        ok = ok & (masked >= kth[:, None])
+    rows, cols = np.nonzero(ok)
+    order = np.lexsort((ids[cols], -s[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, rows, side="left")
+    keep = np.arange(rows.size) - first < k
+    return rows[keep], cols[keep]
 
 
 def search(
-    anchors: DataFrame, stored: DataFrame, cells: DataFrame, book: Codebook, width: int, config: Mining, folder: str
+    anchors: DataFrame,
+    stored: DataFrame,
+    cells: DataFrame,
+    book: Codebook,
+    width: int,
+    config: Mining,
+    folder: str,
+    same: bool,
+    k: int,
 ) -> DataFrame:
-    """For every anchor (anchor_id, label, q, windows), the best k rows of each window, as
+    """For every anchor (anchor_id, label, q, wins, los, his), the best ``k`` rows of each
+    window (rows of its label if ``same``, else of other labels, scores from lo to hi), as
     (anchor_id, w, vec_id, score), certified exactly."""
     spark = anchors.sparkSession
-    state = anchors.select("anchor_id", "label", "q", "windows", F.lit(0).cast("long").alias("pos"))
-    best = spark.createDataFrame([], FOUND + ", k int")
+    info = written(anchors.select("anchor_id", "label", "q"), f"{folder}/anchors")
+    state = anchors.select("anchor_id", "wins", "los", "his", F.lit(0).cast("long").alias("pos"))
+    best = spark.createDataFrame([], FOUND)
     budget, round_no = config.first_entries, 0
+    counts = book.counts.tolist()
+    magnitude = float(info.agg(F.max(F.array_max(F.transform("q", lambda v: F.abs(v))))).first()[0] or 0)
     while True:
-        visits_schema = "anchor_id long, label int, q array<long>, windows array<struct<w:int,lo:bigint,hi:bigint,same:boolean,k:int>>, c1 int, c2 int, pos long, bound double"
 
         def walk(parts: Iterator[pd.DataFrame], budget=budget) -> Iterator[pd.DataFrame]:
             for part in parts:
                 rows = []
-                for anchor, label, q, windows, pos in part.itertuples(index=False):
-                    vec = np.asarray(q, dtype=float)
-                    windows = [dict(w) for w in windows]
-                    open_ = [(int(w["lo"]), int(w["hi"])) for w in windows]
+                for anchor, q, los, his, pos in part[["anchor_id", "q", "los", "his", "pos"]].itertuples(index=False):
+                    open_ = list(zip(los.tolist(), his.tolist()))
                     floor_ = min(lo for lo, _ in open_)
                     # Steps count every non-empty cell in heap order; earlier rounds took
                     # the first ``pos`` of them.
-                    taken, step, visited, nxt = 0, -1, [], -np.inf
-                    for i, j, up, low in book.walk(vec):
+                    taken, step, nxt, visited = 0, -1, -np.inf, 0
+                    for i, j, up, low in book.walk(np.asarray(q, dtype=float)):
                         step += 1
                         if step < pos:
                             continue
@@ -216,72 +250,94 @@ def search(
                         if taken >= budget:
                             nxt = up
                             break
-                        visited.append((i, j))
-                        taken += int(book.counts[i, j])
+                        rows.append((anchor, i, j))
+                        visited += 1
+                        taken += counts[i][j]
                     end = step if nxt > -np.inf else book.size
-                    for i, j in visited or [(-1, -1)]:
-                        rows.append((anchor, label, q, windows, i, j, end, nxt))
-                yield pd.DataFrame(rows, columns=["anchor_id", "label", "q", "windows", "c1", "c2", "pos", "bound"])
-
-        visits = written(state.mapInPandas(walk, visits_schema), f"{folder}/visits{round_no}")
-        fans = visits.filter("c1 >= 0").groupBy("c1", "c2").agg(F.count("*").alias("n"))
+                    rows.append((anchor, -1, end, nxt))
+                yield pd.DataFrame(
+                    [(r[0], r[1], r[2], None, None) if len(r) == 3 else (r[0], -1, -1, r[2], r[3]) for r in rows],
+                    columns=["anchor_id", "c1", "c2", "pos", "bound"],
+                )
+
+        opened = state.join(info, "anchor_id").repartition("anchor_id")
+        visits = written(
+            opened.mapInPandas(walk, "anchor_id long, c1 int, c2 int, pos long, bound double"), f"{folder}/visits{round_no}"
+        )
+        hits = visits.filter("c1 >= 0").select("anchor_id", "c1", "c2")
+        fans = hits.groupBy("c1", "c2").agg(F.count("*").alias("n"))
         fans = fans.select("c1", "c2", F.greatest(F.lit(1), F.ceil(F.col("n") / config.anchors)).cast("int").alias("fan"))
-        fans = written(fans, f"{folder}/fans{round_no}")
         # At most one row per cell: a bounded broadcast.
-        per_cell = F.broadcast(fans.join(cells, ["c1", "c2"]))
+        per_cell = F.broadcast(written(fans.join(cells, ["c1", "c2"]), f"{folder}/fans{round_no}"))
         probe = (
-            visits.filter("c1 >= 0")
-            .join(per_cell, ["c1", "c2"])
+            hits.join(per_cell, ["c1", "c2"])
+            .join(state.select("anchor_id", "wins", "los", "his"), "anchor_id")
+            .join(info, "anchor_id")
             .withColumn("part", F.pmod(F.xxhash64("anchor_id"), F.col("fan")).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("c1", "c2", "block", "part", "anchor_id", "label", "q", "windows")
+            .select("c1", "c2", "block", "part", "anchor_id", "label", "q", "wins", "los", "his")
         )
         stock = (
             stored.join(per_cell, ["c1", "c2"])
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)))
-            .select("c1", "c2", "block", "part", F.col("vec_id"), F.col("label").alias("e_label"), F.col("q").alias("e_q"))
+            .select("c1", "c2", "block", "part", "vec_id", F.col("label").alias("e_label"), F.col("q").alias("e_q"))
         )
 
         def score(key, probes: pd.DataFrame, stock: pd.DataFrame) -> pd.DataFrame:
-            if probes.empty or stock.empty:
-                return pd.DataFrame({"anchor_id": [], "w": [], "vec_id": [], "score": [], "k": []})
-            e = _as_matrix(stock["e_q"], width)
-            ids, labels = stock["vec_id"].to_numpy(np.int64), stock["e_label"].to_numpy(np.int64)
-            out = []
-            for start in range(0, len(probes), 256):
-                chunk = probes.iloc[start : start + 256]
-                s = _as_matrix(chunk["q"], width) @ e.T
-                for row, (anchor, label, windows) in enumerate(zip(chunk["anchor_id"], chunk["label"], chunk["windows"])):
-                    for w in windows:
-                        ok = (labels == label) if w["same"] else (labels != label)
-                        ok &= (s[row] >= w["lo"]) & (s[row] <= w["hi"]) & (ids != anchor)
-                        at = np.flatnonzero(ok)
-                        if at.size:
-                            order = at[np.lexsort((ids[at], -s[row, at]))][: w["k"]]
-                            out += [(anchor, w["w"], ids[o], s[row, o], w["k"]) for o in order]
-            return pd.DataFrame(out, columns=["anchor_id", "w", "vec_id", "score", "k"])
+            found = []
+            if len(probes) and len(stock):
+                e = _as_matrix(stock["e_q"], width).T
+                # Integer products in doubles are exact below 2**53, and far faster.
+                exact = float(np.abs(e).max(initial=0)) * magnitude * max(width, 1) < 2.0**53
+                e = e.astype(float) if exact else e
+                ids, labels = stock["vec_id"].to_numpy(np.int64), stock["e_label"].to_numpy(np.int64)
+                for start in range(0, len(probes), 256):
+                    chunk = probes.iloc[start : start + 256]
+                    a = _as_matrix(chunk["q"], width)
+                    s = (a.astype(float) @ e).astype(np.int64) if exact else a @ e
+                    anchor = chunk["anchor_id"].to_numpy(np.int64)
+                    mine_ = chunk["label"].to_numpy(np.int64)[:, None] == labels[None, :]
+                    ok = (mine_ if same else ~mine_) & (ids[None, :] != anchor[:, None])
+                    wins, los, his = (list(chunk[c]) for c in ("wins", "los", "his"))
+                    for t in range(max(len(w) for w in wins)):
+                        has = np.array([len(w) > t for w in wins])
+                        lo = np.array([l[t] if len(l) > t else HIGHEST for l in los], dtype=np.int64)
+                        hi = np.array([h[t] if len(h) > t else LOWEST for h in his], dtype=np.int64)
+                        w = np.array([x[t] if len(x) > t else 0 for x in wins], dtype=np.int64)
+                        inside = ok & has[:, None] & (s >= lo[:, None]) & (s <= hi[:, None])
+                        rows, cols = _best(s, inside, ids, k)
+                        found.append(pd.DataFrame({"anchor_id": anchor[rows], "w": w[rows], "vec_id": ids[cols], "score": s[rows, cols]}))
+            if not found:
+                return pd.DataFrame({"anchor_id": [], "w": [], "vec_id": [], "score": []})
+            return pd.concat(found, ignore_index=True)
 
         grouped = probe.groupBy("c1", "c2", "block", "part").cogroup(stock.groupBy("c1", "c2", "block", "part"))
-        found = grouped.applyInPandas(score, FOUND + ", k int")
-        best = written(_top(best.unionByName(found)), f"{folder}/best{round_no}")
+        found = grouped.applyInPandas(score, FOUND)
+        best = written(_top(best.unionByName(found), k), f"{folder}/best{round_no}")
 
         # A window is certified when its k-th score beats the next cell's bound, or the bound
         # fell below it; an anchor stays open while one of its windows is not.
-        ends = visits.groupBy("anchor_id").agg(F.first("pos").alias("pos"), F.first("bound").alias("bound"))
+        ends = visits.filter("c1 < 0").select("anchor_id", "pos", "bound")
         kth = best.groupBy("anchor_id", "w").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
-        windows = state.select("anchor_id", "label", "q", F.explode("windows").alias("win")).join(ends, "anchor_id")
-        windows = windows.join(kth, (windows.anchor_id == kth.anchor_id) & (F.col("win.w") == kth.w), "left").drop(kth.anchor_id, kth.w)
+        windows = state.select(
+            "anchor_id", F.explode(F.arrays_zip("wins", "los", "his")).alias("win")
+        ).select("anchor_id", F.col("win.wins").alias("w"), F.col("win.los").alias("lo"), F.col("win.his").alias("hi"))
+        windows = windows.join(ends, "anchor_id").join(kth, ["anchor_id", "w"], "left")
         bound = F.floor(F.col("bound"))
         done = (
-            F.col("bound").isNull()
-            | (F.col("bound") == float("-inf"))
-            | (bound < F.col("win.lo"))
-            | ((F.coalesce(F.col("n"), F.lit(0)) >= F.col("win.k")) & (bound < F.col("kth")))
+            (F.col("bound") == float("-inf"))
+            | (bound < F.col("lo"))
+            | ((F.coalesce(F.col("n"), F.lit(0)) >= k) & (bound < F.col("kth")))
+        )
+        still = windows.filter(~done).groupBy("anchor_id", "pos").agg(
+            F.sort_array(F.collect_list(F.struct("w", "lo", "hi"))).alias("open")
+        )
+        state = written(
+            still.select("anchor_id", "open.w", "open.lo", "open.hi", "pos").toDF("anchor_id", "wins", "los", "his", "pos"),
+            f"{folder}/state{round_no}",
         )
-        still = windows.filter(~done).groupBy("anchor_id", "label", "q", "pos").agg(F.collect_list("win").alias("windows"))
-        state = written(still.select("anchor_id", "label", "q", "windows", "pos"), f"{folder}/state{round_no}")
         if state.isEmpty():
-            return best.drop("k")
+            return best
         budget, round_no = budget * 4, round_no + 1
 
 
@@ -294,7 +350,8 @@ def mine(rows: DataFrame, is_anchor: Column, relabel: Column | None = None, conf
     if width == 0:
         return spark.createDataFrame([], RESULT)
     valid = written(valid, f"{folder}/valid")
-    halves = fit(valid, width, config)
+    k = max(1, min(config.centroids, round(math.sqrt(valid.count() / config.cell_rows))))
+    halves = fit(valid, width, k, config)
     placed = written(entries(valid, halves, width), f"{folder}/entries")
     r1 = {r.c1: r.r for r in placed.groupBy("c1").agg(F.max("r1").alias("r")).collect()}
     r2 = {r.c2: r.r for r in placed.groupBy("c2").agg(F.max("r2").alias("r")).collect()}
@@ -313,32 +370,32 @@ def mine(rows: DataFrame, is_anchor: Column, relabel: Column | None = None, conf
     marks = rows.filter(is_anchor).select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     anchors = valid.join(marks, "vec_id", "left_semi").dropDuplicates(["vec_id", "label", "q"])
 
-    every = F.struct(
-        F.lit(1).alias("w"),
-        F.lit(LOWEST).alias("lo"),
-        F.lit(HIGHEST).alias("hi"),
-        F.lit(True).alias("same"),
-        F.lit(config.positives).alias("k"),
+    first = anchors.select(
+        F.col("vec_id").alias("anchor_id"),
+        "label",
+        "q",
+        F.array(F.lit(1)).alias("wins"),
+        F.array(F.lit(LOWEST)).alias("los"),
+        F.array(F.lit(HIGHEST)).alias("his"),
     )
-    one = F.array(every)
-    first = anchors.select(F.col("vec_id").alias("anchor_id"), "label", "q", one.alias("windows"))
-    positives = search(first, stored, cells, book, width, config, f"{folder}/positives")
+    positives = search(first, stored, cells, book, width, config, f"{folder}/positives", True, config.positives)
     positives = positives.withColumn("rank", F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")))
     positives = written(positives, f"{folder}/positive_rows")
 
+    # The window 50 p <= 100 n <= 95 p in whole numbers: ceil(p / 2) to floor(0.95 p).
     p = F.col("score")
     window = F.struct(
         F.col("rank").cast("int").alias("w"),
         (-F.floor(-p * config.low / 100)).cast("long").alias("lo"),
         F.floor(p * config.high / 100).cast("long").alias("hi"),
-        F.lit(False).alias("same"),
-        F.lit(config.negatives).alias("k"),
     )
-    second = positives.groupBy("anchor_id").agg(F.collect_list(window).alias("windows"))
-    second = second.join(first.select("anchor_id", "label", "q"), "anchor_id")
-    second = second.filter(F.exists("windows", lambda w: w["lo"] <= w["hi"]))
+    second = positives.groupBy("anchor_id").agg(F.sort_array(F.collect_list(window)).alias("windows"))
     second = second.withColumn("windows", F.filter("windows", lambda w: w["lo"] <= w["hi"]))
-    negatives = search(second, stored, cells, book, width, config, f"{folder}/negatives")
+    second = second.filter(F.size("windows") > 0).join(first.select("anchor_id", "label", "q"), "anchor_id")
+    second = second.select("anchor_id", "label", "q", "windows.w", "windows.lo", "windows.hi").toDF(
+        "anchor_id", "label", "q", "wins", "los", "his"
+    )
+    negatives = search(second, stored, cells, book, width, config, f"{folder}/negatives", False, config.negatives)
     order = Window.partitionBy("anchor_id", "w").orderBy(F.desc("score"), "vec_id")
     ranked = negatives.withColumn("rank", F.row_number().over(order).cast("int"))
     pos = positives.select("anchor_id", F.col("rank").cast("int").alias("w"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
