@@ -44,6 +44,11 @@ class Search:
     def profile_hash(self) -> str:
         return _fingerprint(self.profile)
 
+    @property
+    def regions_hash(self) -> str:
+        """Fingerprint of the regions that choose the listings, in sorted order."""
+        return _fingerprint(json.dumps(sorted(self.regions)))
+
     @property
     def requirements_hash(self) -> str:
         """Fingerprint of the requirements as canonical JSON: sorted keys and lists."""

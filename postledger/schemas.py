@@ -69,6 +69,13 @@ CURRENT_SCORES = """
     hard_fail BOOLEAN, profile_hash STRING, requirements_hash STRING, scored_run INT
 """
 
+# Per search: the sync run through which all its postings were matched, under these
+# fingerprints and these regions, and the scoring run that did it.
+MARKS = """
+    search_name STRING, profile_hash STRING, requirements_hash STRING, regions_hash STRING,
+    through_sync INT, scoring_run INT
+"""
+
 SCORE_REPORT = """
     search_name STRING, stage_reached INT, processed BIGINT, hard_failed BIGINT,
     unreadable BIGINT, failed_calls BIGINT

@@ -139,6 +139,11 @@ class Ledger:
         """Rewritten by every scoring run: which score counts."""
         return self._table("score_state", schemas.CURRENT_SCORES)
 
+    @property
+    def score_marks(self) -> Table:
+        """Rewritten by every scoring run: how far each search has matched the postings."""
+        return self._table("score_marks", schemas.MARKS)
+
     @property
     def score_report(self) -> Table:
         return self._table("score_report", schemas.SCORE_REPORT)
