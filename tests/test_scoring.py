@@ -349,3 +349,26 @@ def test_companies_from_yaml(tmp_path):
     assert [(c.name, c.ats, dict(c.config)) for c in companies] == [
         ("A", "google", {}), ("B", "greenhouse", {"board_slug": "b"}),
     ]
+
+
+def test_many_searches_in_one_pass_over_distinct_places(spark):
+    """2,000 searches against locations, as the substring test of each search would have them."""
+    places = ["Germany, Ulm", "Lima, PERU", "", None, "Délaware", "ulm"]
+    rows = spark.createDataFrame(
+        [(f"k{i}", f"Cook {i % 3}", places[i % len(places)]) for i in range(60)], "unique_key string, title string, location string"
+    )
+    words = ["ulm", "peru", "de", "élaw", "germany, ulm", "x", "lima, peru", ""]
+    many = [
+        Search(f"s{i}", "p", tuple(words[(i + j) % len(words)] for j in range(i % 3)), title_keywords=("cook 1",) if i % 4 == 0 else ())
+        for i in range(2000)
+    ]
+    got = {(r.unique_key, r.search_name, r.title_ok) for r in match_searches(rows, many).collect()}
+    expected = set()
+    for r in rows.collect():
+        place = (r.location or "").lower()
+        for s in many:
+            if not s.regions or any(t.lower() in place for t in s.regions):
+                expected.add((r.unique_key, s.name, not s.title_keywords or any(k in r.title.lower() for k in s.title_keywords)))
+    assert got == expected
+    plan = match_searches(rows, many)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
