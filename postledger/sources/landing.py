@@ -12,7 +12,10 @@ also arrive as rows (company, offset, body), for example from compacted Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postledger.sources.registry import Source
@@ -40,9 +43,8 @@ def feed_files(spark: SparkSession, run: str, source: Source) -> DataFrame:
 
     Reading by element never sees that a feed breaks off.  A feed is whole if the element
     that it opens first is closed behind its last item tag.  The files are split at ``>``
-    for that, so tasks share a long one and hold a tag at a time.  The first element is the
-    first piece that begins with a tag: a comment before it may hold tags, but not a ``>``
-    with a tag right behind it.
+    for that, and tags inside comments and CDATA sections do not count.  Telling them
+    apart orders the pieces of one file in one task (a window over the file).
     """
     path = listing_path(run, source)
     raw = (
@@ -53,16 +55,37 @@ def feed_files(spark: SparkSession, run: str, source: Source) -> DataFrame:
         .load(path)
     )
     tag = F.col("value")
-    opened = F.nullif(F.regexp_extract(tag, r"^\s*<([\p{L}_:][^\s/<]*)", 1), F.lit(""))
-    closed = F.nullif(F.regexp_extract(tag, r"</([^\s/<]+)\s*$", 1), F.lit(""))
-    pieces = raw.select(
+    # Comments and CDATA sections end in a piece ending with "--" or "]]" (the ">" was cut).
+    # What they hold is no markup: a piece is hidden if one opened before it and did not
+    # end, or if one opens in it, which holds its trailing tag then.
+    kinds = (("<!--", "--"), ("<![CDATA[", "]]"))
+    found = raw.select(
         "company",
+        "value",
         F.col("_metadata.file_path").alias("file"),
         _position().alias("position"),
+        *[(tag.contains(start) & ~tag.endswith(end)).alias(f"_open{k}") for k, (start, end) in enumerate(kinds)],
+        *[tag.endswith(end).alias(f"_end{k}") for k, (_, end) in enumerate(kinds)],
+    )
+    before = Window.partitionBy("company", "file").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    inside = [
+        F.coalesce(F.max(F.when(F.col(f"_open{k}"), F.col("position"))).over(before), F.lit(-1))
+        > F.coalesce(F.max(F.when(F.col(f"_end{k}"), F.col("position"))).over(before), F.lit(-1))
+        for k in range(len(kinds))
+    ]
+    hidden = reduce(or_, [*inside, *[F.col(f"_open{k}") for k in range(len(kinds))]])
+    shown = found.withColumn("_hidden", hidden)
+    visible = ~F.col("_hidden")
+    opened = F.when(visible, F.nullif(F.regexp_extract(tag, r"^\s*<([\p{L}_:][^\s/<]*)", 1), F.lit("")))
+    closed = F.when(visible, F.nullif(F.regexp_extract(tag, r"</([^\s/<]+)\s*$", 1), F.lit("")))
+    pieces = shown.select(
+        "company",
+        "file",
+        "position",
         opened.alias("opened"),
         tag.rlike(r"/\s*$").alias("alone"),
         closed.alias("closed"),
-        tag.rlike(rf"</?\Q{source.row_tag}\E(\s[^<]*)?/?\s*$").alias("of_item"),
+        (visible & tag.rlike(rf"</?\Q{source.row_tag}\E(\s[^<]*)?/?\s*$")).alias("of_item"),
     )
     first = F.min(F.when(F.col("opened").isNotNull(), F.struct("position", "opened", "alone")))
     # A row per file and name of a closing tag, then a row per file.

@@ -259,6 +259,12 @@ def test_feeds_with_odd_ends_and_companies_like_numbers(spark, tmp_path):
         "E": whole + "<?done yes?>",
         "F": whole[: whole.index("</jobs>")],
         "G": whole[: whole.index("</title></job></jobs>")] if "</title></job></jobs>" in whole else whole[:-20],
+        # Tags in comments and CDATA are text: they neither end nor extend a feed.
+        "C1": whole + "<!-- last </job> -->",
+        "C2": whole + "<!-- <job> count 2 -->",
+        "C3": whole.replace("<title>b</title>", "<title><![CDATA[</jobs> <job>]]></title>"),
+        "H": whole[: whole.index("<job><jobid>2")] + "<!-- </jobs> -->",
+        "I": whole[: whole.index("<job><jobid>2")] + "<job><title><![CDATA[</jobs>]]></title>",
     }
     companies = [type(FEED)(name, "google") for name in texts]
     for company in companies:
