@@ -12,6 +12,10 @@ from postledger.functions.prompts import gate_reason
 from postledger.functions.text import contains_any
 from postledger.operators.bounds import broadcast_within
 
+# Up to this many searches are compiled into one projection of the rows: no join and no
+# shuffle.  More are matched once per distinct place, in one pass.
+COMPILED_SEARCHES = 200
+
 # Stages of the scoring funnel.
 GATE_STAGE, MODEL_STAGE = 1, 3
 
@@ -27,8 +31,9 @@ def title_passes(title: Column, keywords: Sequence[str]) -> Column:
 def match_searches(rows: DataFrame, searches: Sequence[Search]) -> DataFrame:
     """(row, search) for every search whose regions hold the row's location.
 
-    Adds ``search_name``, both current fingerprints and ``title_ok``.  Locations repeat, so
-    the distinct ones are matched once, in one pass for all searches: each is cut into its
+    Adds ``search_name``, both current fingerprints and ``title_ok``.  A few searches are
+    compiled into one projection.  Beyond that, locations repeat, so the distinct ones are
+    matched once, in one pass for all searches: each is cut into its
     substrings of exactly the lengths that region terms have, and an equality join with
     the terms (configuration, broadcast) names the searches it holds.  Rows get them by a
     join on the location; a title is tested against the keywords of its matched searches
@@ -36,6 +41,8 @@ def match_searches(rows: DataFrame, searches: Sequence[Search]) -> DataFrame:
     """
     if not searches:
         return _match(rows, [Search("", "")]).where(F.lit(False))
+    if len(searches) <= COMPILED_SEARCHES:
+        return _match(rows, searches)
     spark = rows.sparkSession
     keyed = rows.withColumn("_place", F.lower(F.coalesce(F.col("location"), F.lit(""))))
     everywhere = [i for i, s in enumerate(searches) if not s.regions or any(not t for t in s.regions)]
@@ -69,7 +76,7 @@ def match_searches(rows: DataFrame, searches: Sequence[Search]) -> DataFrame:
 
 
 def _match(rows: DataFrame, searches: Sequence[Search]) -> DataFrame:
-    """Searches compiled into one projection: the empty result's columns."""
+    """Searches compiled into one projection of the rows: a generator, no join, no shuffle."""
     hits = [
         F.when(
             in_regions(F.col("location"), search.regions),
