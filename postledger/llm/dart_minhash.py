@@ -401,19 +401,24 @@ def _unsettled(shared: DataFrame, stars: DataFrame, classes: DataFrame, signed:
 def keep_one(docs: DataFrame, near: Near = Near(), folder: str | None = None) -> DataFrame:
     """The rows of ``docs`` whose document names its class; repeated rows of it stay once.
 
-    Rows without an id stay.  Columns are those of ``docs``.
+    Of an id held by several different texts, the version that decided its class stays:
+    that of the least digest (``near_classes``).  Rows without an id stay.  Columns are
+    those of ``docs``; names used here inside begin with two underscores.
     """
     folder = folder or workspace(docs.sparkSession, "near")
     classes = written(near_classes(docs, near, folder), f"{folder}/result")
-    copies = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("copy"))
-    kept = docs.join(broadcast_within(copies), F.col("doc_id") == F.col("copy"), "left_anti")
+    copies = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("__copy"))
+    kept = docs.join(broadcast_within(copies), docs["doc_id"] == copies["__copy"], "left_anti")
     keys = docs.sparkSession.read.parquet(f"{folder}/keys")
     repeated = written(
-        keys.groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again"), f"{folder}/repeated"
+        keys.groupBy(F.col("doc_id").alias("__again")).count().filter("count > 1").select("__again"), f"{folder}/repeated"
     )
     if repeated.isEmpty():
         return kept
     repeated = broadcast_within(repeated)
-    once = kept.join(repeated, F.col("doc_id") == F.col("again"), "left_anti")
-    twice = kept.join(repeated, F.col("doc_id") == F.col("again"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(twice)
+    once = kept.join(repeated, kept["doc_id"] == repeated["__again"], "left_anti")
+    twice = kept.join(repeated, kept["doc_id"] == repeated["__again"], "left_semi")
+    versions = twice.withColumn("__entry", entry_of(text_of()))
+    least = versions.groupBy(F.col("doc_id").alias("__id")).agg(F.min("__entry").alias("__least"))
+    chosen = versions.join(least, (versions["doc_id"] == least["__id"]) & (versions["__entry"] == least["__least"]))
+    return once.unionByName(chosen.dropDuplicates(["doc_id", "__entry"]).select(*docs.columns))

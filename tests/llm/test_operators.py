@@ -403,3 +403,18 @@ def test_languages(spark):
     one, two = language.page_rows(pages).orderBy("page_id").collect()
     assert (one.host, one.domain, one.suffix, one.declared, one.text.split()) == ("a.b.de", "b.de", "de", "de", ["und", "die"])
     assert (two.host, two.declared, two.text) == (None, None, "")
+
+
+def test_keep_one_with_versions_and_clashing_names(spark):
+    one = "the quick brown fox jumps over the lazy dog again and again"
+    other = "entirely unrelated words about rivers mountains valleys and distant lakes"
+    rows = [(1, one, "a", "b"), (1, other, "a", "b"), (1, one, "a", "b"), (2, other + " now", "c", "d"), (None, "x", "e", "f")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, copy string, again string")
+    kept = dart_minhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    got = sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None)
+    entries = {r.text: r.e for r in frame.select("text", dart_minhash.entry_of(F.col("text")).alias("e")).collect()}
+    first = min((one, other), key=lambda t: entries[t])
+    # Id 1 stays once, as the version that decided its class; id 2 is near one version of it.
+    assert [d for d, _ in got].count(1) == 1 and (1, first) in got
+    assert len(kept.collect()) == len(got) + 1
