@@ -12,6 +12,8 @@ also arrive as rows (company, offset, body), for example from compacted Parquet.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import or_
 
@@ -38,6 +40,22 @@ def detail_path(run: str, source: Source) -> str:
     return f"{run}/source={source.name}/detail"
 
 
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Loads within list directories in a few tasks a core.
+
+    A load lists at once, by default with a task for each directory up to 10,000, and there
+    is a directory for each company: starting these tasks takes far longer than they do.
+    """
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def feed_files(spark: SparkSession, run: str, source: Source) -> DataFrame:
     """(company, corrupt), one row per landed XML feed, so that an empty feed counts too.
 
@@ -47,13 +65,14 @@ def feed_files(spark: SparkSession, run: str, source: Source) -> DataFrame:
     apart orders the pieces of one file in one task (a window over the file).
     """
     path = listing_path(run, source)
-    raw = (
-        spark.read.format("text")
-        .schema("value STRING, company STRING")
-        .option("basePath", path)
-        .option("lineSep", ">")
-        .load(path)
-    )
+    with _few_listing_tasks(spark):
+        raw = (
+            spark.read.format("text")
+            .schema("value STRING, company STRING")
+            .option("basePath", path)
+            .option("lineSep", ">")
+            .load(path)
+        )
     tag = F.col("value")
     # Comments and CDATA sections end in a piece ending with "--" or "]]" (the ">" was cut).
     # What they hold is no markup: a piece is hidden if one opened before it and did not
@@ -141,14 +160,15 @@ def _is_corrupt(field: str) -> Column:
 def read_documents(spark: SparkSession, run: str, source: Source) -> DataFrame:
     """(company, offset, document, corrupt) of a JSON source."""
     path = listing_path(run, source)
-    raw = (
-        spark.read.format("json")
-        .schema(f"{source.document}, {CORRUPT} STRING, company STRING")
-        .option("basePath", path)
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .load(path)
-    )
+    with _few_listing_tasks(spark):
+        raw = (
+            spark.read.format("json")
+            .schema(f"{source.document}, {CORRUPT} STRING, company STRING")
+            .option("basePath", path)
+            .option("multiLine", True)
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .load(path)
+        )
     fields = [c for c in raw.columns if c not in (CORRUPT, "company")]
     number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.[^.]*\z", 1)
     return raw.select(
@@ -164,14 +184,15 @@ def read_items(spark: SparkSession, run: str, source: Source) -> DataFrame:
     if not source.is_xml:
         return _exploded(read_documents(spark, run, source), source)
     path = listing_path(run, source)
-    raw = (
-        spark.read.format("xml")
-        .schema(f"{source.item}, {CORRUPT} STRING, company STRING")
-        .option("basePath", path)
-        .option("rowTag", source.row_tag)
-        .options(**_XML_TEXT)
-        .load(path)
-    )
+    with _few_listing_tasks(spark):
+        raw = (
+            spark.read.format("xml")
+            .schema(f"{source.item}, {CORRUPT} STRING, company STRING")
+            .option("basePath", path)
+            .option("rowTag", source.row_tag)
+            .options(**_XML_TEXT)
+            .load(path)
+        )
     names = [c for c in raw.columns if c not in (CORRUPT, "company")]
     fields = [F.col(f"`{c}`") for c in names]
     # An element that does not parse is no item.
@@ -226,14 +247,15 @@ def read_details(spark: SparkSession, run: str, source: Source) -> DataFrame:
     A file's path below its company is the item's detail key.
     """
     path = detail_path(run, source)
-    raw = (
-        spark.read.format("json")
-        .schema(f"{source.detail.document}, {CORRUPT} STRING, company STRING")
-        .option("basePath", path)
-        .option("multiLine", True)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .load(path)
-    )
+    with _few_listing_tasks(spark):
+        raw = (
+            spark.read.format("json")
+            .schema(f"{source.detail.document}, {CORRUPT} STRING, company STRING")
+            .option("basePath", path)
+            .option("multiLine", True)
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .load(path)
+        )
     fields = [c for c in raw.columns if c not in (CORRUPT, "company")]
     decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     key = F.regexp_extract(decoded, r"/detail/company=[^/]*/(.*)\.json\z", 1)

@@ -2,12 +2,14 @@
 
 import datetime
 import json
+import uuid
+from collections import Counter
 
 import pytest
 from landed import ACME, BOARD, FEED, RSS, SEARCH, detail, flat_feed, listing, page, posting, rss
 from pyspark.sql import functions as F
 
-from postledger.config import companies_frame
+from postledger.config import Company, companies_frame
 from postledger.functions import strip_html
 from postledger.sources import (
     Source,
@@ -21,6 +23,7 @@ from postledger.sources import (
     registered,
     source,
 )
+from workloads import landed as workload
 
 
 def read(spark, root, *companies):
@@ -338,3 +341,34 @@ def test_unknown_source_and_plug_in(spark, tmp_path):
     listing(tmp_path, company, {"rows": [{"k": "1", "t": "cook"}]})
     (row,) = usable(read(spark, tmp_path, company))
     assert (row.unique_key, row.title, row.location) == ("Tiny::1", "COOK", "")
+
+
+def test_many_companies_are_listed_in_few_tasks(spark, tmp_path):
+    for n in range(100):
+        listing(tmp_path, Company(f"c{n}", "google"), flat_feed({"jobid": str(n)}))
+    context, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    context.setJobGroup("listing", "listing")
+    try:
+        items = read_items(spark, str(tmp_path), source("google"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * context.defaultParallelism
+    assert spark.conf.get(name) == before
+    assert sorted(int(r.item.jobid) for r in items.where("item is not null").collect()) == [*range(100)]
+
+
+def test_landed_feeds_are_files_of_the_layout_and_parsed_once(spark, tmp_path, monkeypatch):
+    rows = [(n, f"Name#{n}", "CITY") for n in [*range(0, 320, 10), 20, None]]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(workload, "scratch", lambda spark, name: f"file://{tmp_path}/shared/{uuid.uuid4().hex}")
+    found = workload.landed_xml(spark, str(tmp_path))
+    listings = sorted(tmp_path.glob("shared/*/source=google/listing/*/*"))
+    assert [f"{f.parent.name}/{f.name}" for f in listings] == [
+        "company=__HIVE_DEFAULT_PARTITION__/0.xml", *(f"company=feed{n}/0.xml" for n in range(7))
+    ]
+    assert found.inputFiles() and not any("/listing/" in f for f in found.inputFiles())
+    expected = Counter((f"feed{n // 50}", n // 50 not in (3, 4), f"feed{n // 50}::{n}", f"Name & {n}", "CITY") for n, _, _ in rows[:-1])
+    assert Counter((r.company, r.complete, r.unique_key, r.title, r.location) for r in found.collect()) == expected
