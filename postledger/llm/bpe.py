@@ -6,7 +6,7 @@ neighbouring ranks are looked up again.  For short words that beats any queue.
 more than ``SHORT`` parts would make the scan quadratic, so they take the same steps from
 a heap.
 
-Texts are encoded where they lie: no shuffle, one Arrow batch at a time.  The vocabulary
+Texts are encoded where they lie: no shuffle, some rows at a time.  The vocabulary
 file is read on the driver and broadcast; ``MAX_VOCABULARY_BYTES`` bounds it.
 """
 
@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +33,6 @@ MEMO_WORDS = 200_000
 MEMO_CHARS = 64
 # Above this many characters words are taken one by one instead of as a list.
 LIST_CHARS = 1 << 20
-# Texts that are Python objects at a time.
-SLICE = 200
 
 _NEVER = 1 << 60
 
@@ -326,27 +323,20 @@ def decode(frame: DataFrame, path: str, packed: str = "packed_ids", to: str = "d
 def coded(docs: DataFrame, path: str, carried: list[str], text: str = "text") -> DataFrame:
     """``carried`` columns of ``docs`` with ``packed_ids`` of every text and what they decode to.
 
-    Encoding and decoding in one step, some rows at a time, so that a task never holds more
-    than a few texts as Python objects.  Nulls, repeated rows and empty tables as in
-    :func:`encode`; other columns are not read.
+    Encoding and decoding in one step.  Texts go to Python a hundred rows at a time, not in
+    Arrow batches: those hold up to 10,000 whole texts, in several copies on either side.
+    Nulls, repeated rows and empty tables as in :func:`encode`; other columns are not read.
     """
     content = shared_vocabulary(docs.sparkSession, path)
-    rows = docs.select(*carried, text_of(text).alias("text to encode"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text to encode").schema)
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.udf("packed_ids binary, decoded string", useArrow=False)
+    def code(text: str) -> tuple[bytes, str]:
         codec = _codec(content)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE):
-                part = batch.slice(begin, SLICE)
-                packed = [codec.encode(t) for t in part["text to encode"].to_pylist()]
-                decoded = [codec.decode(p) for p in packed]
-                yield pa.RecordBatch.from_arrays(
-                    [*(part[c] for c in carried), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())],
-                    [*carried, "packed_ids", "decoded"],
-                )
-
-    return rows.mapInArrow(code, f"{fields}, packed_ids binary, decoded string")
+        packed = codec.encode(text)
+        return packed, codec.decode(packed)
+
+    rows = docs.select(*carried, code(text_of(text)).alias("coded text"))
+    return rows.select(*carried, "`coded text`.packed_ids", "`coded text`.decoded")
 
 
 def round_trip(docs: DataFrame, path: str, carried: list[str], text: str = "text") -> DataFrame:

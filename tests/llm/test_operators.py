@@ -68,6 +68,18 @@ def test_tokens_like_the_library(spark, docs, none, name):
     assert bpe.coded(none, path, ["doc_id"]).collect() == [] and token_counts.count_tokens(none, path).collect() == []
 
 
+def test_texts_are_coded_a_hundred_at_a_time(spark, docs):
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    coded = bpe.coded(docs, path, ["doc_id"])
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+    library = Tokenizer.from_file(path)
+    texts = [f"{'word ' * (n % 7)}{n}" for n in range(1203)]
+    many = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    found = {r.doc_id: bpe.unpack(bytes(r.packed_ids)) for r in bpe.coded(many, path, ["doc_id"]).collect()}
+    assert found == {n: library.encode(t, add_special_tokens=False).ids for n, t in enumerate(texts)}
+
+
 def test_short_and_long_words_merge_alike():
     vocabulary = bpe.Vocabulary(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
     draw = random.Random(4)
